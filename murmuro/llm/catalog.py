@@ -2,11 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmuro.llm import bpe, leaks, lookalike
-from murmuro.session import table
+from murmuro.llm import bpe, leaks, lookalike, quantiles
+from murmuro.session import store, table
+
+
+METRICS = ("entropy", "nll")
+
+
+def p1_percentiles(spark: SparkSession, base: str) -> DataFrame:
+    keys = ["model", "codebook"]
+    return quantiles.percentiles(quantiles.sketches(table(spark, base, "model_metrics"), keys, METRICS), keys)
+
+
+def _by_day(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "model_metrics").withColumn("day", F.to_date("computed_at"))
+    return quantiles.sketches(rows, ["model", "codebook", "day"], METRICS)
+
+
+def p1_daily(spark: SparkSession, base: str) -> DataFrame:
+    return quantiles.percentiles(_by_day(spark, base), ["model", "codebook", "day"])
+
+
+def p1_days_combined(spark: SparkSession, base: str) -> DataFrame:
+    """The percentiles of all days from the sketches of each day."""
+    days = quantiles.merged(_by_day(spark, base), ["model", "codebook", "day"])
+    return quantiles.percentiles(days, ["model", "codebook"])
+
+
+def p1_latest(spark: SparkSession, base: str) -> DataFrame:
+    """The percentiles without rows that a later computation of their sequence replaced: those are deleted from the sketch of all."""
+    rows = table(spark, base, "model_metrics")
+    runs = rows.groupBy("model", "row_id", "seq_id", "computed_at").agg(F.count(F.lit(1)).alias("k"))
+    replaced = runs.withColumn("last", F.max("computed_at").over(Window.partitionBy("model", "row_id", "seq_id"))).where("computed_at < last").drop("k", "last")
+    old = rows.join(replaced, ["model", "row_id", "seq_id", "computed_at"], "left_semi").withColumn("w", F.lit(-1))
+    keys = ["model", "codebook"]
+    states = quantiles.sketches(rows, keys, METRICS).unionByName(quantiles.sketches(old, keys, METRICS, "w"))
+    return quantiles.percentiles(states, keys)
+
+
+def p1_error_bound(spark: SparkSession, base: str) -> DataFrame:
+    """Whether each answer's rank, counted in the table, is within the stated error of the wanted one."""
+    answers = store(p1_percentiles(spark, base), "answers")
+    names = [f"p{p:02g}" for p in quantiles.PERCENTILES]
+    long = table(spark, base, "model_metrics").select("model", "codebook", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])).alias("x"))
+    fine = long.select("model", "codebook", "x.metric", "x.v").where("not isnan(v) and abs(v) < float('inf')")
+    counts = []
+    for n in names:
+        answer = F.col(n).cast("float")
+        counts += [F.sum((F.col("v") < answer).cast("long")).alias(f"{n}_less"), F.sum((F.col("v") <= answer).cast("long")).alias(f"{n}_upto")]
+    ranks = fine.join(answers, ["model", "codebook", "metric"]).groupBy("model", "codebook", "metric").agg(F.count(F.lit(1)).alias("n"), *counts)
+    slack = quantiles.RANK_ERROR * F.col("n") + 1
+    right = F.lit(True)
+    for p, n in zip(quantiles.PERCENTILES, names):
+        wanted = F.col("n") * p / 100
+        right = right & (F.col(f"{n}_less") <= wanted + slack) & (F.col(f"{n}_upto") >= wanted - slack)
+    return ranks.select("model", "codebook", "metric", "n", right.alias("within"))
 
 
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
@@ -42,8 +95,13 @@ def p10_canonical(spark: SparkSession, base: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") == F.col("text")).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
 
+_FINITE = """
+    FROM (SELECT *, unnest([{'metric': 'entropy', 'v': entropy}, {'metric': 'nll', 'v': nll}], recursive := true) FROM model_metrics)
+    WHERE isfinite(v)
+"""
 SQL = {
+    "p1_error_bound": f"SELECT model, codebook, metric, count(*) AS n, true AS within {_FINITE} GROUP BY ALL",
     "p8_round_trip": "SELECT lower(lang) AS lang, count(*) AS n_docs, count(*) AS n_same FROM documents GROUP BY ALL",
 }
