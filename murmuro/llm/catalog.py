@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmuro.llm import bpe, leaks, lookalike, quantiles
+from murmuro.llm import bpe, leaks, lookalike, quantiles, splits
+from murmuro.operators.compaction import shard_records
 from murmuro.session import store, table
 
 
@@ -62,6 +63,33 @@ def p1_error_bound(spark: SparkSession, base: str) -> DataFrame:
     return ranks.select("model", "codebook", "metric", "n", right.alias("within"))
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return splits.linked_recordings(table(spark, base, "segments"), table(spark, base, "shard_meta"))
+
+
+def p3_splits(spark: SparkSession, base: str) -> DataFrame:
+    return splits.recording_splits(table(spark, base, "segments"), table(spark, base, "shard_meta"))
+
+
+def p3_records(spark: SparkSession, base: str) -> DataFrame:
+    """Every record of both tables with its split."""
+    of = p3_splits(spark, base).select("row_id", "split")
+    segments = table(spark, base, "segments").select(F.lit("segments").alias("of"), F.col("source_dataset_id").alias("row_id"), F.lit(None).cast("string").alias("model"), F.col("segment_id").alias("number"))
+    meta = shard_records(table(spark, base, "shard_meta")).select(F.lit("shard_meta").alias("of"), "row_id", "model", F.col("seq_id").alias("number"))
+    return segments.unionByName(meta).join(of, "row_id", "left")
+
+
+def p3_shares(spark: SparkSession, base: str) -> DataFrame:
+    """How far each split's share of the records is from its target, and groups that lie in several splits."""
+    of = store(p3_splits(spark, base), "splits")
+    whole = of.groupBy("group_row_id").agg(F.countDistinct("split").alias("k")).agg(F.sum((F.col("k") > 1).cast("long")).alias("torn"))
+    target = F.create_map(*[F.lit(x) for pair in splits.SPLITS for x in pair])
+    totals = of.groupBy("split").agg(F.sum("n_records").alias("n"))
+    share = F.col("n") / F.lit(of.agg(F.sum("n_records")).first()[0])
+    torn = whole.first()["torn"]
+    return totals.select("split", (F.abs(share - target[F.col("split")]) < 0.01).alias("near"), F.lit(torn).cast("long").alias("torn"))
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, base, "documents"), "doc_id", "text")
 
@@ -95,13 +123,23 @@ def p10_canonical(spark: SparkSession, base: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") == F.col("text")).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p3_found, p3_splits, p3_records, p3_shares, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
 
 _FINITE = """
     FROM (SELECT *, unnest([{'metric': 'entropy', 'v': entropy}, {'metric': 'nll', 'v': nll}], recursive := true) FROM model_metrics)
     WHERE isfinite(v)
 """
+_LINKS = r"""
+    m AS (SELECT coalesce(row_id, TRY_CAST(regexp_extract(sample_key, '(\d+)[_-](\d+)', 1) AS BIGINT)) AS row_id, source_dataset_id FROM shard_meta),
+    s AS (SELECT DISTINCT source_dataset_id AS r, speaker_id AS k FROM segments WHERE speaker_id <> 0),
+    e AS (SELECT DISTINCT x.r AS a, y.r AS b FROM s x JOIN s y ON x.k = y.k AND x.r <> y.r
+          UNION SELECT row_id, source_dataset_id FROM m WHERE row_id <> source_dataset_id
+          UNION SELECT source_dataset_id, row_id FROM m WHERE row_id <> source_dataset_id),
+    reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+"""
 SQL = {
+    "p3_found": f"WITH RECURSIVE {_LINKS} SELECT a AS row_id, least(a, min(b)) AS group_row_id FROM reach GROUP BY a",
+    "p3_shares": "SELECT split, true AS near, 0 AS torn FROM (VALUES ('train'), ('validation'), ('test')) t(split)",
     "p1_error_bound": f"SELECT model, codebook, metric, count(*) AS n, true AS within {_FINITE} GROUP BY ALL",
     "p8_round_trip": "SELECT lower(lang) AS lang, count(*) AS n_docs, count(*) AS n_same FROM documents GROUP BY ALL",
 }
