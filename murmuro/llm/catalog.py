@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmuro.llm import bpe, leaks, lookalike, quantiles, splits
+from murmuro.llm import bpe, leaks, lookalike, quantiles, splits, turns
 from murmuro.operators.compaction import shard_records
 from murmuro.session import store, table
 
@@ -63,6 +63,14 @@ def p1_error_bound(spark: SparkSession, base: str) -> DataFrame:
     return ranks.select("model", "codebook", "metric", "n", right.alias("within"))
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return turns.turns(table(spark, base, "segments")).select("source_dataset_id", "first_segment_id", "last_segment_id")
+
+
+def p2_turns(spark: SparkSession, base: str) -> DataFrame:
+    return turns.turns(table(spark, base, "segments"))
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return splits.linked_recordings(table(spark, base, "segments"), table(spark, base, "shard_meta"))
 
@@ -123,7 +131,7 @@ def p10_canonical(spark: SparkSession, base: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") == F.col("text")).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p3_found, p3_splits, p3_records, p3_shares, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p2_found, p2_turns, p3_found, p3_splits, p3_records, p3_shares, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
 
 _FINITE = """
     FROM (SELECT *, unnest([{'metric': 'entropy', 'v': entropy}, {'metric': 'nll', 'v': nll}], recursive := true) FROM model_metrics)
