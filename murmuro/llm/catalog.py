@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmuro.llm import bpe, leaks, lookalike, quantiles, splits, turns
+from murmuro.llm import bpe, leaks, lookalike, packing, quantiles, sequences, splits, splitting, turns
 from murmuro.operators.compaction import shard_records
 from murmuro.session import store, table
 
@@ -98,6 +98,41 @@ def p3_shares(spark: SparkSession, base: str) -> DataFrame:
     return totals.select("split", (F.abs(share - target[F.col("split")]) < 0.01).alias("near"), F.lit(torn).cast("long").alias("torn"))
 
 
+def p4_windows(spark: SparkSession, base: str) -> DataFrame:
+    """The window of each sequence of shard_meta, by its audio frames."""
+    items = sequences.records(table(spark, base, "shard_meta"), table(spark, base, "spans"), table(spark, base, "layouts"))
+    return packing.pack(items, "model", ["row_id", "seq_id"], "frames")
+
+
+def p4_span_windows(spark: SparkSession, base: str) -> DataFrame:
+    """The window of each sequence of spans, by the positions of all its spans."""
+    return packing.pack(sequences.audio_spans(table(spark, base, "spans")), "model", ["row_id", "seq_id"], "tokens")
+
+
+def p4_fill(spark: SparkSession, base: str) -> DataFrame:
+    """Frames packed per model, whether all windows keep to their capacity, and whether little is unused."""
+    w = p4_windows(spark, base).groupBy("model", "window").agg(F.sum("frames").alias("f"))
+    fill = F.sum("f") / (F.count(F.lit(1)) * packing.WINDOW_FRAMES)
+    return w.groupBy("model").agg(F.sum("f").alias("n_frames"), (F.max("f") <= packing.WINDOW_FRAMES).alias("within"), (fill > 0.9).alias("filled"))
+
+
+def _record_pieces(spark: SparkSession, base: str) -> DataFrame:
+    return splitting.record_pieces(*[table(spark, base, t) for t in ("shard_meta", "spans", "layouts", "segments", "pauses")])
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """The records that were cut."""
+    return _record_pieces(spark, base).where("piece_no = 1").select("model", "row_id", "seq_id")
+
+
+def p5_pieces(spark: SparkSession, base: str) -> DataFrame:
+    return _record_pieces(spark, base)
+
+
+def p5_recording_pieces(spark: SparkSession, base: str) -> DataFrame:
+    return splitting.recording_pieces(table(spark, base, "segments"), table(spark, base, "pauses"))
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, base, "documents"), "doc_id", "text")
 
@@ -131,7 +166,7 @@ def p10_canonical(spark: SparkSession, base: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") == F.col("text")).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p2_found, p2_turns, p3_found, p3_splits, p3_records, p3_shares, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p2_found, p2_turns, p3_found, p3_splits, p3_records, p3_shares, p4_windows, p4_span_windows, p4_fill, p5_found, p5_pieces, p5_recording_pieces, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
 
 _FINITE = """
     FROM (SELECT *, unnest([{'metric': 'entropy', 'v': entropy}, {'metric': 'nll', 'v': nll}], recursive := true) FROM model_metrics)
@@ -145,7 +180,24 @@ _LINKS = r"""
           UNION SELECT source_dataset_id, row_id FROM m WHERE row_id <> source_dataset_id),
     reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
 """
+_LENGTHS = r"""
+    WITH m AS (
+      SELECT coalesce(nullif(lower(trim(model)), ''), lower(split_part(shard_file, '/', 2))) AS model,
+             coalesce(row_id, TRY_CAST(regexp_extract(sample_key, '(\d+)[_-](\d+)', 1) AS BIGINT)) AS row_id,
+             coalesce(seq_id, TRY_CAST(regexp_extract(sample_key, '(\d+)[_-](\d+)', 2) AS INT)) AS seq_id,
+             max(audio_frames) FILTER (audio_frames > 0) AS f, max(frame_rate) AS r
+      FROM shard_meta GROUP BY ALL
+    ), s AS (
+      SELECT model, row_id, seq_id, sum(n) AS n FROM (
+        SELECT DISTINCT model, row_id, seq_id, span_no, span_end - span_start AS n FROM spans WHERE lower(trim(span_kind)) = 'audio') GROUP BY ALL
+    ), r AS (
+      SELECT m.model, m.row_id, m.seq_id, CAST(coalesce(m.f, s.n) AS BIGINT) AS frames, coalesce(m.r, l.frame_rate) AS rate
+      FROM m LEFT JOIN s USING (model, row_id, seq_id) LEFT JOIN layouts l ON l.model = m.model
+    )
+"""
 SQL = {
+    "p4_fill": f"{_LENGTHS} SELECT model, CAST(sum(frames) AS BIGINT) AS n_frames, true AS within, true AS filled FROM r WHERE frames > 0 GROUP BY model",
+    "p5_found": f"{_LENGTHS} SELECT model, row_id, seq_id FROM r WHERE frames / rate > 30",
     "p3_found": f"WITH RECURSIVE {_LINKS} SELECT a AS row_id, least(a, min(b)) AS group_row_id FROM reach GROUP BY a",
     "p3_shares": "SELECT split, true AS near, 0 AS torn FROM (VALUES ('train'), ('validation'), ('test')) t(split)",
     "p1_error_bound": f"SELECT model, codebook, metric, count(*) AS n, true AS within {_FINITE} GROUP BY ALL",
