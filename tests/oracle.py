@@ -25,7 +25,7 @@ def connect(base: str) -> duckdb.DuckDBPyConnection:
 def plain(x: object) -> object:
     if isinstance(x, (list, tuple, np.ndarray)):
         return tuple(plain(v) for v in x)
-    if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
         return None
     if isinstance(x, (bool, np.bool_)):
         return bool(x)
