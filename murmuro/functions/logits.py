@@ -6,6 +6,8 @@ size stays one value of one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,26 +15,26 @@ from pyspark.sql import functions as F
 NATS_TO_BITS = 1.4426950408889634
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once; within a lambda, an expression is worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(values: Column, of: Callable[[Column], Column] = lambda x: x) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + of(x))
 
 
 def log_sum_exp(logits: Column) -> Column:
     """ln of the sum of e^x, with the maximum taken out first."""
-    top = F.array_max(logits)
-    return top + F.ln(_sum(F.transform(logits, lambda x: F.exp(x - top))))
+    return let(F.array_max(logits), lambda top: top + F.ln(_sum(logits, lambda x: F.exp(x - top))))
 
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    rest = F.ln(_sum(F.transform(logits, lambda x: F.exp(x - top))))
-    return F.transform(logits, lambda x: x - top - rest)
+    return let(log_sum_exp(logits), lambda z: F.transform(logits, lambda x: x - z))
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    whole = _sum(F.transform(logits, lambda x: F.exp(x - top)))
-    return F.transform(logits, lambda x: F.exp(x - top) / whole)
+    return let(log_sum_exp(logits), lambda z: F.transform(logits, lambda x: F.exp(x - z)))
 
 
 def nll(logits: Column, target: Column) -> Column:
@@ -40,11 +42,20 @@ def nll(logits: Column, target: Column) -> Column:
     return log_sum_exp(logits) - F.get(logits, target)
 
 
+def _entropy(logits: Column, z: Column, nan_safe: bool) -> Column:
+    if nan_safe:
+        return -_sum(logits, lambda x: F.when(F.exp(x - z) == 0, F.lit(0.0)).otherwise(F.exp(x - z) * (x - z)))
+    return -_sum(logits, lambda x: F.exp(x - z) * (x - z))
+
+
 def entropy(logits: Column, nan_safe: bool = False) -> Column:
     """Entropy (nats) of the softmax. A logit of minus infinity gives NaN, as 0 times infinity is; 0 with nan_safe."""
-    logs = log_softmax(logits)
-    term = (lambda x: F.when(F.exp(x) == 0, F.lit(0.0)).otherwise(F.exp(x) * x)) if nan_safe else (lambda x: F.exp(x) * x)
-    return -_sum(F.transform(logs, term))
+    return let(log_sum_exp(logits), lambda z: _entropy(logits, z, nan_safe))
+
+
+def scores(logits: Column, target: Column, nan_safe: bool = False) -> Column:
+    """Struct (entropy, nll), with one pass less than both apart."""
+    return let(log_sum_exp(logits), lambda z: F.struct(_entropy(logits, z, nan_safe).alias("entropy"), (z - F.get(logits, target)).alias("nll")))
 
 
 def argmax(logits: Column) -> Column:
@@ -54,12 +65,12 @@ def argmax(logits: Column) -> Column:
 
 def suppress(logits: Column, ids: Column) -> Column:
     """Minus infinity for the given ids."""
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(ids, i), F.lit(float("-inf"))).otherwise(x))
+    return let(ids, lambda out: F.transform(logits, lambda x, i: F.when(F.array_contains(out, i), F.lit(float("-inf"))).otherwise(x)))
 
 
 def repetition_penalty(logits: Column, seen: Column, penalty: float) -> Column:
     """Ids seen before, each once: divided by the penalty if positive, else multiplied by it."""
-    return F.transform(logits, lambda x, i: F.when(~F.array_contains(seen, i), x).when(x < 0, x * penalty).otherwise(x / penalty))
+    return let(F.array_distinct(seen), lambda ids: F.transform(logits, lambda x, i: F.when(~F.array_contains(ids, i), x).when(x < 0, x * penalty).otherwise(x / penalty)))
 
 
 def temperature(logits: Column, t: float) -> Column:
@@ -67,45 +78,50 @@ def temperature(logits: Column, t: float) -> Column:
 
 
 def _ranked(logits: Column) -> Column:
-    """Structs (x, i), highest logit first, lowest id first among equals."""
-    rows = F.transform(logits, lambda x, i: F.struct((-x).alias("neg"), i.alias("i")))
-    return F.array_sort(rows)
+    """Structs (neg, i), highest logit first, lowest id first among equals."""
+    return F.array_sort(F.transform(logits, lambda x, i: F.struct((-x).alias("neg"), i.alias("i"))))
+
+
+def _upto(logits: Column, last: Column) -> Column:
+    """Minus infinity for what comes after last in _ranked's order."""
+    return let(last, lambda r: F.transform(logits, lambda x, i: F.when((-x < r["neg"]) | ((-x == r["neg"]) & (i <= r["i"])), x).otherwise(F.lit(float("-inf")))))
 
 
 def top_k(logits: Column, k: int) -> Column:
     """Minus infinity outside the k highest; the lower id comes first among equals."""
-    kept = F.transform(F.slice(_ranked(logits), 1, k), lambda r: r["i"])
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(F.lit(float("-inf"))))
+    return _upto(logits, F.get(_ranked(logits), F.least(F.lit(k), F.size(logits)) - 1))
 
 
-def nucleus(logits: Column, p: float, k: int | None = None) -> Column:
-    """The ids that stay, highest first: while the probability summed up to and with an id is at most p, and the highest always; at most k."""
-    ranked = _ranked(logits)
-    whole = log_sum_exp(logits)
-    zero = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<int>").alias("ids"))
+def _nucleus(logits: Column, p: float, k: int | None) -> Column:
+    """How many of the highest logits the nucleus holds."""
+    zero = F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("n"))
+
+    def counted(z: Column) -> Column:
+        def step(acc: Column, r: Column) -> Column:
+            mass = acc["mass"] + F.exp(-r["neg"] - z)
+            return F.struct(mass.alias("mass"), (acc["n"] + F.when(mass <= p, 1).otherwise(0)).alias("n"))
 
-    def step(acc: Column, r: Column) -> Column:
-        mass = acc["mass"] + F.exp(-r["neg"] - whole)
-        first = F.size(acc["ids"]) == 0
-        room = F.lit(True) if k is None else F.size(acc["ids"]) < k
-        return F.struct(mass.alias("mass"), F.when(first | ((mass <= p) & room), F.concat(acc["ids"], F.array(r["i"]))).otherwise(acc["ids"]).alias("ids"))
+        return F.aggregate(_ranked(logits), zero, step, lambda acc: F.greatest(acc["n"], F.lit(1)))
 
-    return F.aggregate(ranked, zero, step, lambda acc: acc["ids"])
+    n = let(log_sum_exp(logits), counted)
+    return n if k is None else F.least(n, F.lit(k))
+
+
+def nucleus(logits: Column, p: float, k: int | None = None) -> Column:
+    """The ids that stay, highest first: while the probability summed up to and with an id is at most p, and the highest always; at most k."""
+    return F.transform(F.slice(_ranked(logits), F.lit(1), _nucleus(logits, p, k)), lambda r: r["i"])
 
 
 def top_p(logits: Column, p: float, k: int | None = None) -> Column:
     """Minus infinity outside the nucleus."""
-    kept = nucleus(logits, p, k)
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(F.lit(float("-inf"))))
+    return _upto(logits, F.get(_ranked(logits), _nucleus(logits, p, k) - 1))
 
 
 def min_p(logits: Column, p: float) -> Column:
     """Minus infinity where the probability is below p times the highest."""
-    top = F.array_max(logits)
-    return F.transform(logits, lambda x: F.when(x - top >= F.ln(F.lit(p)), x).otherwise(F.lit(float("-inf"))))
+    return let(F.array_max(logits) + F.ln(F.lit(p)), lambda least: F.transform(logits, lambda x: F.when(x >= least, x).otherwise(F.lit(float("-inf")))))
 
 
 def race(logits: Column, noise: Column) -> Column:
     """A categorical draw: the id with the highest probability over an exponential variate, -ln of uniform noise."""
-    p = softmax(logits)
-    return argmax(F.zip_with(p, noise, lambda x, u: x / -F.ln(F.greatest(u, F.lit(1e-300)))))
+    return let(F.zip_with(softmax(logits), noise, lambda x, u: x / -F.ln(F.greatest(u, F.lit(1e-300)))), argmax)

@@ -13,8 +13,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class ModelBackend(Protocol):
@@ -58,19 +60,29 @@ def tokenized(df: DataFrame, text: Column, backend: ModelBackend, out: str = "te
     return df.withColumn(out, ids(text))
 
 
-def featurized(df: DataFrame, key: str, frames: str, backend: ModelBackend) -> DataFrame:
+def _nested(array: np.ndarray) -> pa.Array:
+    """An array of any dimensions as lists of lists, without a loop."""
+    out = pa.array(np.ascontiguousarray(array).ravel())
+    for width in reversed(array.shape[1:]):
+        out = pa.ListArray.from_arrays(np.arange(0, len(out) + 1, width, dtype=np.int32), out)
+    return out
+
+
+def featurized(df: DataFrame, key: str, frames: str, backend: ModelBackend, at_once: int = 1024) -> DataFrame:
     """For each row and frame of its audio: key, frame_idx, targets and logits (one array per codebook). Rows without frames have none."""
+    kind = df.schema[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, n in zip(pdf[key], pdf[frames]):
-                for at in range(0, int(n), 4096):
-                    codes = backend.audio_codes(f"{k}/{at}", min(4096, int(n) - at))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for at in range(0, int(n), at_once):
+                    codes = backend.audio_codes(f"{k}/{at}", min(at_once, int(n) - at))
                     scores = backend.logits(f"{k}/{at}", codes)
-                    yield pd.DataFrame({key: k, "frame_idx": np.arange(at, at + len(codes), dtype=np.int32), "targets": list(codes.astype(np.int32)), "logits": [[list(h) for h in f] for f in scores]})
+                    columns = [pa.array([k] * len(codes), batch.schema.field(0).type), pa.array(np.arange(at, at + len(codes), dtype=np.int32)), _nested(codes.astype(np.int32)), _nested(scores.astype(np.float64))]
+                    yield pa.RecordBatch.from_arrays(columns, [key, "frame_idx", "targets", "logits"])
 
-    kind = dict(df.dtypes)[key]
-    return df.where(F.col(frames) > 0).select(key, frames).mapInPandas(run, f"{key} {kind}, frame_idx int, targets array<int>, logits array<array<double>>")
+    schema = T.StructType([kind, T.StructField("frame_idx", T.IntegerType()), T.StructField("targets", T.ArrayType(T.IntegerType())), T.StructField("logits", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    return df.where(F.col(frames) > 0).select(key, frames).mapInArrow(run, schema)
 
 
 def audio_cache(cache: np.ndarray, start: int, end: int) -> np.ndarray | None:
