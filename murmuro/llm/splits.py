@@ -40,7 +40,9 @@ class Links:
         while (above := up.get(root, root)) != root:
             root = above
         while x != root:
-            x, up[x] = up.get(x, x), root
+            above = up[x]
+            up[x] = root
+            x = above
         return root
 
     def join(self, a: int, b: int) -> None:
