@@ -105,16 +105,14 @@ def longest_run(same: np.ndarray) -> tuple[int, int]:
 
 
 def tolerant_overlap(same: np.ndarray, start: int, length: int) -> int:
-    """Words of the longest overlap that holds the run [start, start + length) and has one change in CHANGED_ONE_IN words at most."""
+    """Words of the longest overlap that holds the run [start, start + length) and has one change in CHANGED_ONE_IN words at most; it begins and ends with words that agree."""
     good = np.concatenate(([0], np.cumsum(np.where(same, 1, 1 - CHANGED_ONE_IN))))
-    lefts, rights = good[: start + 1], good[start + length :]
+    begins, ends = np.flatnonzero(same[: start + 1]), start + length + np.flatnonzero(np.concatenate(([True], same[start + length :])))
     best = length
-    for b in range(len(rights) - 1, -1, -1):
-        fits = np.flatnonzero(lefts <= rights[b])
+    for end in ends[::-1]:
+        fits = begins[good[begins] <= good[end]]
         if len(fits):
-            best = max(best, start + length + b - int(fits[0]))
-            if best >= start + length + b:
-                break
+            best = max(best, int(end - fits[0]))
     return best
 
 
