@@ -177,13 +177,19 @@ def record_manifest(meta: DataFrame) -> DataFrame:
 def plan_shards(manifest: DataFrame, target: int) -> DataFrame:
     """The manifest with the bin of each record: the bin of the file that holds its copy.
 
-    Files keep to their model and to train or val.
+    Files keep to their model and to train or val. A file over target is taken apart, by a hash of its
+    records' keys, into as many items as it holds targets.
     """
     part = F.coalesce(F.nullif(F.get(F.split("shard_file", "/"), F.lit(2)), F.lit("")), F.lit("none"))
-    files = manifest.withColumn("part", part).groupBy("model", "part", "shard_file").agg(F.sum("n_bytes").alias("n_bytes"))
-    packed = pack_files(files, ["model", "part"], "shard_file", "n_bytes", target).select("model", "shard_file", "bin")
-    m, p = manifest.alias("m"), packed.alias("p")
-    return m.join(p, F.col("m.model").eqNullSafe(F.col("p.model")) & F.col("m.shard_file").eqNullSafe(F.col("p.shard_file"))).select("m.*", "p.bin")
+    rows = manifest.withColumns({"part": part, "__file": F.coalesce("shard_file", F.lit(""))})
+    large = rows.groupBy("__file").agg(F.ceil(F.sum("n_bytes") / target).cast("int").alias("__parts")).where("__parts > 1")
+    piece = F.coalesce(F.pmod(F.xxhash64("row_id", "seq_id"), F.col("__parts")), F.lit(0))
+    rows = rows.join(large, "__file", "left").withColumn("__item", F.concat_ws("#", "__file", piece)).drop("__parts", "__file")
+    items = rows.groupBy("model", "part", "__item").agg(F.sum("n_bytes").alias("n_bytes"))
+    packed = pack_files(items, ["model", "part"], "__item", "n_bytes", target).select("model", "__item", "bin")
+    m, p = rows.alias("m"), packed.alias("p")
+    same = F.col("m.model").eqNullSafe(F.col("p.model")) & (F.col("m.__item") == F.col("p.__item"))
+    return m.join(p, same).select(*[f"m.{c}" for c in manifest.columns], "p.bin")
 
 
 def compact_records(meta: DataFrame, target: int, out: str | None = None) -> DataFrame:

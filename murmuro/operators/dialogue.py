@@ -24,7 +24,7 @@ def take_while(df: DataFrame, by: Sequence[str], position: str, stop: Column) ->
     return df.join(ends, list(by), "left").where(F.col("__stop").isNull() | (F.col(position) < F.col("__stop"))).drop("__stop")
 
 
-def stitch(turns: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], length_ms: str, gap_ms: int) -> DataFrame:
+def stitch(turns: DataFrame, by: Sequence[str], bucket: Column | None, order: Sequence[str], length_ms: str, gap_ms: int) -> DataFrame:
     """Where each turn begins in the whole, with a gap between turns and none before the first: adds offset_ms."""
     placed = running_sum(turns, by, bucket, order, F.coalesce(F.col(length_ms), F.lit(0)) + gap_ms, "__end")
     return placed.withColumn("offset_ms", F.col("__end") - F.coalesce(F.col(length_ms), F.lit(0)) - gap_ms).drop("__end")

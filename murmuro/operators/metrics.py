@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmuro.functions.logits import scores
 from murmuro.functions.scalars import kbits_per_second, ratio
@@ -42,20 +43,25 @@ def audio_frame_metrics(frames: DataFrame, logits: str, targets: str, nan_safe:
 
 
 def _numpy_scores(nan_safe: bool):
-    @F.pandas_udf("struct<entropy double, nll double>")
-    def run(logits: pd.Series, targets: pd.Series) -> pd.DataFrame:
-        out = np.full((len(logits), 2), np.nan)
-        for i, (x, t) in enumerate(zip(logits, targets)):
-            if x is None or not len(x):
+    kind = T.StructType([T.StructField("entropy", T.DoubleType()), T.StructField("nll", T.DoubleType())])
+
+    @F.arrow_udf(kind)
+    def run(logits: pa.Array, targets: pa.Array) -> pa.Array:
+        out, known = np.zeros((2, len(logits))), np.zeros((2, len(logits)), bool)
+        wanted = targets.to_pylist()
+        for i in range(len(logits)):
+            row = logits[i]
+            if not row.is_valid or not len(row):
                 continue
-            x = np.asarray(x, np.float64)
+            x = row.values.to_numpy(zero_copy_only=False).astype(np.float64)
             top = x.max()
             p = x - (top + np.log(np.exp(x - top).sum()))
             with np.errstate(invalid="ignore"):
-                out[i, 0] = -np.nansum(np.exp(p) * p) if nan_safe else -(np.exp(p) * p).sum()
-            if t is not None and t == t and 0 <= t < len(p):
-                out[i, 1] = -p[int(t)]
-        return pd.DataFrame(out, columns=["entropy", "nll"])
+                terms = np.exp(p) * p
+            out[0, i], known[0, i] = -(np.nansum(terms) if nan_safe else terms.sum()), True
+            if wanted[i] is not None and 0 <= wanted[i] < len(p):
+                out[1, i], known[1, i] = -p[wanted[i]], True
+        return pa.StructArray.from_arrays([pa.array(out[k], mask=~known[k]) for k in (0, 1)], ["entropy", "nll"])
 
     return run
 
@@ -126,7 +132,7 @@ def row_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("model", "row_id", "codebook").agg((F.avg(finite(F.col("entropy"))) / bit).alias("entropy_bits"), (F.avg(finite(F.col("nll"))) / bit).alias("nll_bits"))
 
 
-def frame_offsets(metrics: DataFrame, per: int = 1024) -> DataFrame:
+def frame_offsets(metrics: DataFrame, per: int = 65_536) -> DataFrame:
     """Where each sequence's frames begin among those of its row: model, row_id, seq_id, n_frames, frame_offset."""
     counts = metrics.groupBy("model", "row_id", "seq_id").agg(F.countDistinct("frame_idx").alias("n_frames"))
     ends = running_sum(counts, ["model", "row_id"], F.floor(F.col("seq_id") / per), ["seq_id"], F.col("n_frames"), "__end")

@@ -1,8 +1,9 @@
 """Order-dependent operators that need no task to see a whole group.
 
 A group may hold a third of all rows, so none of these sorts one in a single task. The caller names a
-bucket, a coarse form of the order (say, sequence number div 1024): rows of lower buckets come first.
-Work is done within (group, bucket), and one small row per bucket carries what came before.
+bucket, a coarse form of the order (say, sequence number div 65536): rows of lower buckets come first.
+Work is done within (group, bucket), and one small row per bucket carries what came before. Where no such
+form is known, the rows are sorted over the whole cluster and the buckets are the partitions.
 """
 
 from __future__ import annotations
@@ -17,13 +18,18 @@ from pyspark.sql import functions as F
 from murmuro.session import cut
 
 
-def running_sum(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str | Column], value: Column, out: str) -> DataFrame:
+def running_sum(df: DataFrame, by: Sequence[str], bucket: Column | None, order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Adds out, the sum of value over the rows of the group up to and with each row.
 
-    Nulls add nothing. Rows that tie in order and bucket are summed in any order among themselves.
+    bucket: see above; None for a global sort. Nulls add nothing. Rows that tie in order and bucket are
+    summed in any order among themselves.
     """
     by = list(by)
-    rows = df.withColumns({"__bucket": bucket, "__value": F.coalesce(value, F.lit(0))})
+    rows = df.withColumn("__value", F.coalesce(value, F.lit(0)))
+    if bucket is None:
+        rows = cut(rows.repartitionByRange(*by, *order).withColumn("__bucket", F.spark_partition_id()))
+    else:
+        rows = rows.withColumn("__bucket", bucket)
     within = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("__sum", F.sum("__value").over(within))
     totals = rows.groupBy(*by, "__bucket").agg(F.sum("__value").alias("__total"))
@@ -35,7 +41,7 @@ def running_sum(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequenc
     return summed.join(before, same).withColumn(out, F.col("__sum") + F.col("__before")).select(*df.columns, out)
 
 
-def numbered(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str | Column], out: str) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str], bucket: Column | None, order: Sequence[str], out: str) -> DataFrame:
     """Adds out, each row's number within its group, from 0."""
     return running_sum(df, by, bucket, order, F.lit(1).cast("long"), "__n").withColumn(out, F.col("__n") - 1).drop("__n")
 
@@ -49,7 +55,7 @@ def shuffled(df: DataFrame, key: Column, seed: int, out: str, digits: int = 3) -
     return numbered(mixed, [], F.substring("__md5", 1, digits), ["__md5", "__key"], out).drop("__key", "__md5")
 
 
-def islands(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str | Column], flag: Column) -> DataFrame:
+def islands(df: DataFrame, by: Sequence[str], bucket: Column | None, order: Sequence[str], flag: Column) -> DataFrame:
     """Runs of flagged rows: by, span_start, span_end (half-open row numbers within the group). A null flag is false."""
     by = list(by)
     raised = F.coalesce(flag, F.lit(False))
@@ -72,7 +78,7 @@ def with_recent(df: DataFrame, by: Sequence[str], position: str, value: str, n:
     return placed.withColumn(out, F.collect_list(value).over(w)).where(F.col("__home") == F.col("__bucket")).drop("__home", "__bucket")
 
 
-def trimmed_context(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str | Column], length_ms: str, budget_ms: int) -> DataFrame:
+def trimmed_context(df: DataFrame, by: Sequence[str], bucket: Column | None, order: Sequence[str], length_ms: str, budget_ms: int) -> DataFrame:
     """For each turn the newest earlier turns of its group that fit a budget together: context_turns, context_ms.
 
     The turn just before always belongs to it, however long. Null and negative lengths count as 0 ms.

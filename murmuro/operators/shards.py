@@ -35,7 +35,7 @@ def dataset_info(placed: DataFrame, frames: str) -> DataFrame:
     return placed.groupBy("split").agg(F.count(F.lit(1)).alias("num_samples"), F.sum(frames).alias("total_frames"), F.countDistinct("shard").alias("num_shards"))
 
 
-def frame_batches(items: DataFrame, by: list[str], bucket: Column, order: list, frames: str, batch: int, drop_last: bool = False) -> DataFrame:
+def frame_batches(items: DataFrame, by: list[str], bucket: Column | None, order: list, frames: str, batch: int, drop_last: bool = False) -> DataFrame:
     """Frames of all items one after another, cut into batches of a fixed number: by, batch_no, n_frames, n_items.
 
     An item may lie in several batches. drop_last leaves out a last batch that isn't full.

@@ -79,18 +79,28 @@ def template(segments: DataFrame, text_tokens: Column, frames: Column, prefix: i
     return placed.withColumns({"piece": F.col("__p.piece"), "kind": F.col("__p.kind"), "span_end": F.col("span_start") + F.col("__p.n")}).drop("__p")
 
 
-def check_grid(tokens: Column, mask: Column, codebooks: Column, text_at: Column) -> Column:
-    """Why a token grid is unsound, else 'ok': rows of K + 1 columns in both; text 0 where its mask is off; audio 0 where no audio mask of the row is on."""
-    wide = codebooks + 1
-    shape = (F.size(tokens) == F.size(mask)) & F.forall(tokens, lambda r: F.size(r) == wide) & F.forall(mask, lambda r: F.size(r) == wide)
-    pairs = F.zip_with(tokens, mask, lambda t, m: F.struct(t.alias("t"), m.alias("m")))
-    text = F.forall(pairs, lambda p: F.get(p["m"], text_at) | (F.get(p["t"], text_at) == 0))
+# Reasons why a row of a token grid is unsound, the gravest last.
+GRID_REASONS = ("ok", "audio", "text", "shape")
+
+
+def check_row(tokens: Column, mask: Column, codebooks: Column, text_at: Column) -> Column:
+    """The place in GRID_REASONS of one row of a token grid.
+
+    shape: not K + 1 tokens and masks; text: a text token where its mask is off; audio: an audio token
+    where no audio mask is on.
+    """
+    cells = F.zip_with(tokens, mask, lambda t, m: F.struct(t.alias("t"), m.alias("m")))
+    audio = F.filter(cells, lambda c, i: i != text_at)
+    silent = F.exists(audio, lambda c: c["m"]) | F.forall(audio, lambda c: c["t"] == 0)
+    text = F.get(mask, text_at) | (F.get(tokens, text_at) == 0)
+    return F.when((F.size(tokens) != codebooks + 1) | (F.size(mask) != codebooks + 1), 3).when(~text, 2).when(~silent, 1).otherwise(0)
 
-    def silent(p: Column) -> Column:
-        cells = F.filter(F.zip_with(p["t"], p["m"], lambda t, m: F.struct(t.alias("t"), m.alias("m"))), lambda c, i: i != text_at)
-        return F.exists(cells, lambda c: c["m"]) | F.forall(cells, lambda c: c["t"] == 0)
 
-    return F.when(~shape, "shape").when(~text, "text").when(~F.forall(pairs, silent), "audio").otherwise("ok")
+def check_grid(tokens: Column, mask: Column, codebooks: Column, text_at: Column) -> Column:
+    """The gravest of check_row's reasons over the rows of a grid; shape if tokens and masks differ in number."""
+    rows = F.zip_with(tokens, mask, lambda t, m: check_row(t, m, codebooks, text_at))
+    worst = F.when(F.size(tokens) != F.size(mask), 3).otherwise(F.coalesce(F.array_max(rows), F.lit(0)))
+    return F.get(F.array(*[F.lit(r) for r in GRID_REASONS]), worst)
 
 
 def scatter(values: DataFrame, lengths: DataFrame, by: list[str], position: str, value: str) -> DataFrame:

@@ -15,8 +15,8 @@ from murmuro.operators.ordered import greedy_pack, islands, numbered, trimmed_co
 from murmuro.session import table
 from murmuro.sources.tables import missing, selected
 
-#: Width in ms and in sequences of the buckets in which order is kept.
-SPAN_MS, SPAN_SEQUENCES = 600_000, 256
+#: Segments in a bucket in which order is kept.
+SPAN_SEQUENCES = 65_536
 
 
 def _valid(spark: SparkSession, base: str) -> DataFrame:
@@ -179,22 +179,22 @@ def packed_sequences(spark: SparkSession, base: str) -> DataFrame:
 def contiguous_spans(spark: SparkSession, base: str) -> DataFrame:
     """Runs of errors of each user, in order of time."""
     events = table(spark, base, "events")
-    return islands(events, ["user_id"], F.floor(F.col("event_id") / 4096), ["ts", "event_id"], F.col("event_type") == "error")
+    return islands(events, ["user_id"], F.floor(F.col("event_id") / (1 << 20)), ["ts", "event_id"], F.col("event_type") == "error")
 
 
 def ras_repeat_flag(spark: SparkSession, base: str) -> DataFrame:
     """Whether an event's value k was among the user's last ten."""
     events = table(spark, base, "events").select("user_id", "event_id", "ts", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    at = numbered(events, ["user_id"], F.floor(F.col("event_id") / 4096), ["ts", "event_id"], "pos")
+    at = numbered(events, ["user_id"], F.floor(F.col("event_id") / (1 << 20)), ["ts", "event_id"], "pos")
     return with_recent(at, ["user_id"], "pos", "k", 10, "recent").select("event_id", F.array_contains("recent", F.col("k")).alias("repeated"))
 
 
 def token_mask_validate(spark: SparkSession, base: str) -> DataFrame:
     """Lines as rows of a grid (quantity, size, 0) with masks from their status; reasons why orders' grids are unsound."""
     tokens, on = F.array(F.col("l_quantity").cast("int"), F.lit(0), F.col("l_linenumber")), F.col("l_linestatus") == "O"
-    grids = table(spark, base, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", tokens.alias("t"), F.array(on, on, F.lit(True)).alias("m")))).alias("g"))
-    reason = P.check_grid(F.col("g.t"), F.col("g.m"), F.lit(2), F.lit(2))
-    return grids.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    worst = P.check_row(tokens, F.array(on, on, F.lit(True)), F.lit(2), F.lit(2))
+    grids = table(spark, base, "lineitem").groupBy("l_orderkey").agg(F.max(worst).alias("worst"))
+    return grids.groupBy(F.get(F.array(*[F.lit(r) for r in P.GRID_REASONS]), F.col("worst")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def layout_columns(spark: SparkSession, base: str) -> DataFrame:

@@ -56,6 +56,13 @@ def test_each_record_once_latest_copy_in_one_bin(spark, meta, tmp_path):
     assert len(files) == len(sizes)
 
 
+def test_a_file_over_the_target_is_taken_apart(spark, tmp_path):
+    rows = [row("shards/miso/train/d/huge.tar", f"{i:08d}_00000", i, 0, "miso", 100, i) for i in range(100)]
+    out = C.compact_records(spark.createDataFrame(rows, META), 1000, f"{tmp_path}/out")
+    sizes = [r["sum(n_bytes)"] for r in out.groupBy("bin").sum("n_bytes").collect()]
+    assert out.count() == 100 and len(sizes) >= 8 and max(sizes) <= 2000
+
+
 def test_nothing_is_published_if_a_bin_differs(spark, meta, tmp_path, monkeypatch):
     rows = C.plan_shards(C.record_manifest(meta), 1000)
     whole = DataFrameReader.parquet
