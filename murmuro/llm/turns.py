@@ -49,7 +49,7 @@ TIMES = re.compile(rf"[\[(<{{]\s*{_CLOCK}\s*[\])>}}]|(?<![\w:]){_CLOCK}(?![\w:])
 VOICE = re.compile(r"<\s*v(?:\.[^\s>]*)?\s+([^<>]*)>", re.I)
 HEAD = re.compile(rf"\s*(?:\[\s*({LABEL})[^\]\[]{{0,20}}\]|({LABEL})(?:\s*\([^()]{{0,20}}\))?\s*(?::(?!\d)|>>))", re.I)
 NOTES = re.compile(r"<[^<>]{0,60}>|\[[^\[\]]{0,80}\]|\(\([^()]{0,80}\)\)|\([^()]{0,80}\)|\{[^{}]{0,80}\}|\*(?=\S)[^*\n]{1,80}(?<=\S)\*|#(?=\S)[^#\n]{1,80}(?<=\S)#|♪[^♪\n]{0,80}♪|[♪♫]", re.I)
-BROKEN = re.compile(r"(?<!\w)([^\W\d_]{1,12})-\s+(?=\1)", re.I)
+BROKEN = re.compile(r"(?<![\w'’-])#?(?:([^\W\d_]{1,12})-\s+(?=\1)|[^\W\d_]{1,2}-(?=\s|$)|[^\W\d_]{1,12}-\s*$)", re.I)
 _FILLER = re.compile(rf"(?<![\w'’-])(?:{HESITATIONS})(?![\w'’-])(?:\s*(?:\.\.\.|…|,))?", re.I)
 _NAMED = re.compile(rf"([^\W\d_]{{2,}}){_SPACE}(?:no\b{_SPACE})?(\d+)", re.I)
 _BEFORE_NAME = re.compile(r"^\W*(?:(?:speaker|spk|sprecher|locuteur|hablante)\b[\s=:]*)+(?=[^\W\d_]{2,}\W*(?:no\b\W*)?\d)", re.I)
@@ -103,7 +103,7 @@ def clean(text: str | None) -> tuple[str | None, str]:
     text = _FILLER.sub(lambda m: " " if _is_filler(m, words) else m[0], text)
     text = " ".join(text.split())
     text = re.sub(r"\s+([,.!?;:…])", r"\1", text)
-    text = re.sub(r"^[\s,.;:…\-–—]+(?=\S)", "", text)
+    text = re.sub(r"^[\s,.;:…\-–—]+(?=\S)|\s+[\-–—#]+$", "", text)
     return label, text if re.search(r"[^\W_]", text) else ""
 
 
