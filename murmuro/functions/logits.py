@@ -125,3 +125,18 @@ def min_p(logits: Column, p: float) -> Column:
 def race(logits: Column, noise: Column) -> Column:
     """A categorical draw: the id with the highest probability over an exponential variate, -ln of uniform noise."""
     return let(F.zip_with(softmax(logits), noise, lambda x, u: x / -F.ln(F.greatest(u, F.lit(1e-300)))), argmax)
+
+
+def fused_filters(logits: Column, temperature_: float, k: int, p: float, least: float, eos: int) -> Column:
+    """Temperature, then top-k, then top-p and min-p on what is left; the end token keeps its logit."""
+    scaled = F.transform(logits, lambda x: x / temperature_)
+    cut = let(scaled, lambda lg: top_k(lg, k))
+    cut = let(cut, lambda lg: top_p(lg, p)) if 0 < p < 1 else cut
+    cut = let(cut, lambda lg: min_p(lg, least)) if least > 0 else cut
+    return let(F.get(scaled, F.lit(eos)), lambda end: F.transform(cut, lambda x, i: F.when(i == eos, end).otherwise(x)))
+
+
+def repetition_aware(logits: Column, recent: Column, noise: Column, again: Column, p: float, k: int, low: int, high: int, high_p: float = 0.9) -> Column:
+    """A draw from the nucleus; drawn once more, with other noise and a nucleus of high_p, if it is semantic (low to high) and among the recent ones."""
+    first = race(top_p(logits, p, k), noise)
+    return let(first, lambda t: F.when(t.between(low, high) & F.array_contains(recent, t), race(top_p(logits, high_p, k), again)).otherwise(t))

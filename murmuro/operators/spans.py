@@ -16,9 +16,9 @@ def kind_of(kind: Column) -> Column:
 
 
 def spans_once(spans: DataFrame) -> DataFrame:
-    """Each span once, its kind spelled evenly: model, row_id, seq_id, span_no, kind, source_dataset_id, segment_id, span_start, span_end."""
+    """Each span once, of copies the one that names its segment, its kind spelled evenly: model, row_id, seq_id, span_no, kind, source_dataset_id, segment_id, span_start, span_end."""
     key = [F.lower(F.trim("model")).alias("model"), "row_id", "seq_id", "span_no"]
-    row = F.struct("span_start", "span_end", kind_of(F.col("span_kind")).alias("kind"), "source_dataset_id", "segment_id")
+    row = F.struct("span_start", "span_end", kind_of(F.col("span_kind")).alias("kind"), "source_dataset_id", F.col("segment_id").isNull().alias("unknown"), "segment_id")
     return spans.groupBy(*key).agg(F.min(row).alias("r")).select(*SEQUENCE, "span_no", "r.kind", "r.source_dataset_id", "r.segment_id", "r.span_start", "r.span_end")
 
 

@@ -216,7 +216,7 @@ _V = """
 _B = f"{_V}, b AS (SELECT *, CAST(floor(start_ms / 1000 * 12.5) AS BIGINT) AS fs, CAST(ceil(end_ms / 1000 * 12.5) AS BIGINT) AS fe FROM v)"
 _S = """
   s AS (SELECT lower(trim(model)) AS model, row_id, seq_id, span_no, lower(trim(span_kind)) AS kind, source_dataset_id, segment_id, span_start, span_end FROM spans
-        QUALIFY row_number() OVER (PARTITION BY lower(trim(model)), row_id, seq_id, span_no ORDER BY span_start, span_end, kind NULLS FIRST, source_dataset_id NULLS FIRST, segment_id NULLS FIRST) = 1)
+        QUALIFY row_number() OVER (PARTITION BY lower(trim(model)), row_id, seq_id, span_no ORDER BY span_start, span_end, kind NULLS FIRST, source_dataset_id NULLS FIRST, segment_id NULLS LAST) = 1)
 """
 _SEQ = "model, row_id, seq_id"
 _RECORD = r"""

@@ -89,3 +89,40 @@ def write_sequences(df: DataFrame, path: str, layout: Sequence[str]) -> None:
     if not counts or any(r["n"] > 1 for r in counts):
         raise ValueError("sequences of a model must exist and share one layout")
     df.write.mode("overwrite").partitionBy(*[c for c in ("dataset", "model") if c in df.columns]).parquet(path)
+
+
+def load_sequences(spark: SparkSession, path: str, caches: str | None = None, keys: Sequence[str] = ("model", "row_id", "seq_id")) -> DataFrame:
+    """Stored sequences; with caches their stored caches too, null where a sequence has none."""
+    rows = spark.read.parquet(path)
+    return rows if caches is None else rows.join(spark.read.parquet(caches), list(keys), "left")
+
+
+def unmatched(tokenized: DataFrame, featurized: DataFrame, keys: Sequence[str] = ("model", "row_id", "seq_id")) -> DataFrame:
+    """Sequences that only one side has: keys, side (tokenized or featurized)."""
+    t, f = tokenized.select(*keys).distinct().withColumn("t", F.lit(1)), featurized.select(*keys).distinct().withColumn("f", F.lit(1))
+    return t.join(f, list(keys), "full").where("t is null or f is null").select(*keys, F.when(F.col("t").isNotNull(), "tokenized").otherwise("featurized").alias("side"))
+
+
+def split_valid(df: DataFrame, reason: F.Column) -> tuple[DataFrame, DataFrame]:
+    """Rows whose reason is 'ok', and the others with their reason, for write_failures."""
+    marked = df.withColumn("reason", F.coalesce(reason, F.lit("unknown")))
+    return marked.where("reason = 'ok'").drop("reason"), marked.where("reason <> 'ok'")
+
+
+def resampled(df: DataFrame, share: float, seed: int) -> DataFrame:
+    """Rows drawn with replacement, share of them per pass on average."""
+    return df.sample(withReplacement=True, fraction=share, seed=seed)
+
+
+def read_warmup(spark: SparkSession, manifest: str, clips: DataFrame) -> DataFrame:
+    """Clips of a manifest in YAML (speaker, audio, text) joined with read_wav's rows by file name: turn, speaker, text, sample_rate, samples. Raises if a clip is missing."""
+    import yaml
+
+    with open(manifest, encoding="utf-8") as f:
+        items = yaml.safe_load(f)["segments"]
+    listed = spark.createDataFrame([(i, int(x["speaker"]), str(x["text"]), str(x["audio"]).rsplit("/", 1)[-1]) for i, x in enumerate(items)], "turn int, speaker int, text string, file string")
+    named = clips.where("channel = 0").withColumn("file", F.substring_index("path", "/", -1)).select("file", "sample_rate", "samples")
+    gone = listed.join(named, "file", "left_anti").select("file").collect()
+    if gone:
+        raise FileNotFoundError(", ".join(r["file"] for r in gone))
+    return listed.join(named, "file").select("turn", "speaker", "text", "sample_rate", "samples")
