@@ -373,7 +373,7 @@ def turns(segments: DataFrame) -> DataFrame:
     change is likelier than none. Null and empty texts and segments without valid times are left out.
     """
     order = ["rec", "start", "end", "seg"]
-    ordered = cut(cleaned(segments).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    ordered = cut(store(cleaned(segments), "cleaned").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     rows = ordered.mapInPandas(_summarise, _SUMMARY).collect()
     scores = border_scores(*[[sum(r[k][c] for r in rows) for c in range(CELLS)] for k in ("same", "changed")])
     return _joined(store(ordered.mapInPandas(_decode(contexts(rows, scores), scores), _PIECES), "pieces"))
