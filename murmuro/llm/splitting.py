@@ -66,19 +66,25 @@ def pieces_of(start: int, end: int, cuts: Sequence[tuple[int, int]], limit: int,
 
 
 def _cut(df: DataFrame, keys: list[str], limit: int, overlap: int) -> DataFrame:
-    """df: keys, first, start, end, time, level; one row per boundary, time null where there is none. Groups are bounded by their length in ms."""
-    types = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        marks: dict[int, int] = {}
-        for t, level in zip(pdf["time"], pdf["level"]):
-            if not pd.isna(t):
-                marks[int(t)] = min(int(level), marks.get(int(t), 9))
-        found = pieces_of(int(head["start"]), int(head["end"]), sorted(marks.items()), limit, overlap, bool(head["first"]))
-        return pd.DataFrame([[*[head[k] for k in keys], i, a, b] for i, (a, b) in enumerate(found)], columns=[*keys, "piece_no", "start_ms", "end_ms"])
-
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", piece_no int, start_ms long, end_ms long")
+    """df: keys, first, start, end, time, level; one row per boundary, time null where there is none.
+
+    The boundaries of a group become one array, whose size is bounded by the group's length in ms.
+    """
+    mark = F.when(F.col("time").isNotNull(), F.struct("time", "level"))
+    grouped = df.groupBy(*keys).agg(F.max("first").alias("first"), F.max("start").alias("start"), F.max("end").alias("end"), F.collect_set(mark).alias("marks"))
+
+    @F.pandas_udf("array<struct<start_ms: bigint, end_ms: bigint>>")
+    def run(first: pd.Series, start: pd.Series, end: pd.Series, times: pd.Series, levels: pd.Series) -> pd.Series:
+        out = []
+        for one, a, b, ts, ls in zip(first, start, end, times, levels):
+            marks: dict[int, int] = {}
+            for t, level in zip(ts.tolist(), ls.tolist()):
+                marks[t] = min(level, marks.get(t, level))
+            out.append([{"start_ms": x, "end_ms": y} for x, y in pieces_of(int(a), int(b), sorted(marks.items()), limit, overlap, bool(one))])
+        return pd.Series(out, dtype=object)
+
+    pieces = run("first", "start", "end", F.transform("marks", lambda m: m["time"].cast("long")), F.transform("marks", lambda m: m["level"]))
+    return grouped.select(*keys, F.posexplode(pieces).alias("piece_no", "p")).select(*keys, "piece_no", "p.start_ms", "p.end_ms")
 
 
 def record_pieces(meta: DataFrame, spans: DataFrame, layouts: DataFrame, segments: DataFrame, pauses: DataFrame, limit: int = LIMIT_MS, overlap: int = OVERLAP_MS) -> DataFrame:
