@@ -30,18 +30,32 @@ def build_session(app: str = "murmuro", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder. Raises on a cluster that names none: a machine's own folder won't do there."""
+    """This application's part of the shared folder; what is in it is deleted when the application ends.
+
+    Raises on a cluster that names no folder: a machine's own won't do there.
+    """
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isDefined():
-        return found.get()
+        return _kept(spark, found.get())
     path = context.getConf().get("spark.checkpoint.dir")
     if not path:
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir isn't set; name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="murmuro-")
     context.setCheckpointDir(path)
-    return context._jsc.sc().getCheckpointDir().get()
+    return _kept(spark, context._jsc.sc().getCheckpointDir().get())
+
+
+_known: set[str] = set()
+
+
+def _kept(spark: SparkSession, path: str) -> str:
+    if path not in _known:
+        _known.add(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
