@@ -17,6 +17,7 @@ combined state.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -53,13 +54,25 @@ BROKEN = re.compile(r"(?<![\w'’-])#?(?:([^\W\d_]{1,12})-\s+(?=\1)|[^\W\d_]{1,2
 _FILLER = re.compile(rf"(?<![\w'’-])(?:{HESITATIONS})(?![\w'’-])(?:\s*(?:\.\.\.|…|,))?", re.I)
 _NAMED = re.compile(rf"([^\W\d_]{{2,}}){_SPACE}(?:no\b{_SPACE})?(\d+)", re.I)
 _BEFORE_NAME = re.compile(r"^\W*(?:(?:speaker|spk|sprecher|locuteur|hablante)\b[\s=:]*)+(?=[^\W\d_]{2,}\W*(?:no\b\W*)?\d)", re.I)
+_MARKS = frozenset("<[({*#♪♫")
+_LOOSE = re.compile(r"\s+([,.!?;:…])")
+_EDGES = re.compile(r"^[\s,.;:…\-–—]+(?=\S)|\s+[\-–—#]+$")
+_SPOKEN = re.compile(r"[^\W_]")
 _TABLE: dict[str, frozenset] = {}
 
 
 def _even(text: str) -> str:
     """Full-width and compatibility forms as plain ones, without characters that show nothing; no change of look-alike letters."""
+    if text.isascii():
+        return text
     text = unicodedata.normalize("NFKC", text)
-    return text if text.isascii() else "".join(c for c in text if unicodedata.category(c) != "Cf" and c != "️")
+    return text if text.isascii() else text.translate(_unmarked())
+
+
+@functools.cache
+def _unmarked() -> dict[int, None]:
+    """Format characters and the variation selector of emoji."""
+    return dict.fromkeys([0xFE0F, *(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf")])
 
 
 def _letters(text: str) -> str:
@@ -89,22 +102,32 @@ def clean(text: str | None) -> tuple[str | None, str]:
     """(label found in a text or None, the spoken text); the spoken text is '' where no word is left."""
     if not text:
         return None, ""
-    text = TIMES.sub(" ", _even(text))
+    text = _even(text)
+    if ":" in text or "]" in text:
+        text = TIMES.sub(" ", text)
     label = None
-    if voice := VOICE.search(text):
-        label = speaker_of(voice[1])
-    text = VOICE.sub(" ", text)
-    while found := HEAD.match(text if text.isascii() else _same_length(text)):
+    if "<" in text:
+        if voice := VOICE.search(text):
+            label = speaker_of(voice[1])
+        text = VOICE.sub(" ", text)
+    while (":" in text or ">>" in text or "]" in text) and (found := HEAD.match(text if text.isascii() else _same_length(text))):
         label = label or speaker_of(found[1] or found[2])
         text = text[found.end() :]
-    text = NOTES.sub(" ", text)
-    text = BROKEN.sub("", text)
-    words = {w.lower() for w in re.findall(r"[^\W\d_]+", text)}
-    text = _FILLER.sub(lambda m: " " if _is_filler(m, words) else m[0], text)
-    text = " ".join(text.split())
-    text = re.sub(r"\s+([,.!?;:…])", r"\1", text)
-    text = re.sub(r"^[\s,.;:…\-–—]+(?=\S)|\s+[\-–—#]+$", "", text)
-    return label, text if re.search(r"[^\W_]", text) else ""
+    if not _MARKS.isdisjoint(text):
+        text = NOTES.sub(" ", text)
+    if "-" in text:
+        text = BROKEN.sub("", text)
+    words: set[str] = set()
+
+    def filler(found: re.Match) -> str:
+        if not words:
+            words.update(w.lower() for w in re.findall(r"[^\W\d_]+", text))
+        return " " if _is_filler(found, words) else found[0]
+
+    text = " ".join(_FILLER.sub(filler, text).split())
+    text = _LOOSE.sub(r"\1", text)
+    text = _EDGES.sub("", text)
+    return label, text if _SPOKEN.search(text) else ""
 
 
 def _same_length(text: str) -> str:
