@@ -129,6 +129,14 @@ def p5_pieces(spark: SparkSession, base: str) -> DataFrame:
     return _record_pieces(spark, base)
 
 
+def p5_cover(spark: SparkSession, base: str) -> DataFrame:
+    """Of each record that was cut: its length, and whether its pieces cover it, keep to the limit and overlap by a second."""
+    w = Window.partitionBy("model", "row_id", "seq_id").orderBy("piece_no")
+    pieces = _record_pieces(spark, base).withColumn("last", F.lag("end_ms").over(w))
+    sound = (F.col("end_ms") - F.col("start_ms") <= splitting.LIMIT_MS) & F.coalesce(F.col("start_ms") == F.col("last") - splitting.OVERLAP_MS, F.col("start_ms") == 0)
+    return pieces.groupBy("model", "row_id", "seq_id").agg(F.max("end_ms").alias("end_ms"), F.min(sound).alias("sound"))
+
+
 def p5_recording_pieces(spark: SparkSession, base: str) -> DataFrame:
     return splitting.recording_pieces(table(spark, base, "segments"), table(spark, base, "pauses"))
 
@@ -166,7 +174,7 @@ def p10_canonical(spark: SparkSession, base: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") == F.col("text")).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p2_found, p2_turns, p3_found, p3_splits, p3_records, p3_shares, p4_windows, p4_span_windows, p4_fill, p5_found, p5_pieces, p5_recording_pieces, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p2_found, p2_turns, p3_found, p3_splits, p3_records, p3_shares, p4_windows, p4_span_windows, p4_fill, p5_found, p5_pieces, p5_cover, p5_recording_pieces, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
 
 _FINITE = """
     FROM (SELECT *, unnest([{'metric': 'entropy', 'v': entropy}, {'metric': 'nll', 'v': nll}], recursive := true) FROM model_metrics)
@@ -197,6 +205,7 @@ _LENGTHS = r"""
 """
 SQL = {
     "p4_fill": f"{_LENGTHS} SELECT model, CAST(sum(frames) AS BIGINT) AS n_frames, true AS within, true AS filled FROM r WHERE frames > 0 GROUP BY model",
+    "p5_cover": f"{_LENGTHS} SELECT model, row_id, seq_id, CAST(ceil(frames / rate * 1000) AS BIGINT) AS end_ms, true AS sound FROM r WHERE frames / rate > 30",
     "p5_found": f"{_LENGTHS} SELECT model, row_id, seq_id FROM r WHERE frames / rate > 30",
     "p3_found": f"WITH RECURSIVE {_LINKS} SELECT a AS row_id, least(a, min(b)) AS group_row_id FROM reach GROUP BY a",
     "p3_shares": "SELECT split, true AS near, 0 AS torn FROM (VALUES ('train'), ('validation'), ('test')) t(split)",
