@@ -77,15 +77,48 @@ def latest_runs(metrics: DataFrame) -> DataFrame:
     return m.join(r, same, "left_semi").select("m.*")
 
 
+SUMS = ("nll_sum", "nll_n", "entropy_sum", "entropy_n", "excess_sum", "excess_n")
+
+
+def as_cells(metrics: DataFrame) -> DataFrame:
+    """Rows with the sums that the summaries below add up; what has them already is left as it is."""
+    if "nll_n" in metrics.columns:
+        return metrics
+    n, e = finite(F.col("nll")), finite(F.col("entropy"))
+    excess = n - e
+    sums = {f"{name}_sum": v for name, v in (("nll", n), ("entropy", e), ("excess", excess))} | {f"{name}_n": v.isNotNull().cast("long") for name, v in (("nll", n), ("entropy", e), ("excess", excess))}
+    return metrics.withColumns(sums)
+
+
+def latest_cells(metrics: DataFrame) -> DataFrame:
+    """Sums per model, row_id, seq_id and codebook over each sequence's last computation.
+
+    Rows are added up per computation before anything is shuffled; which one is the last is then seen on
+    these few rows, so the metrics themselves are read once and never joined.
+    """
+    key = ["model", "row_id", "seq_id"]
+    runs = as_cells(metrics).groupBy(*key, "computed_at", "codebook").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return _last_run(runs).drop("computed_at")
+
+
+def _last_run(sums: DataFrame) -> DataFrame:
+    """The rows of each sequence's last computation, of sums made per computation."""
+    last = F.max("computed_at").over(Window.partitionBy("model", "row_id", "seq_id"))
+    return sums.withColumn("__last", last).where(F.col("computed_at").eqNullSafe(F.col("__last"))).drop("__last")
+
+
+def _mean(name: str) -> Column:
+    return F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_n"))
+
+
 def nll_summary(metrics: DataFrame, by: Sequence[str], frame_rate: Column) -> DataFrame:
     """Columns by, scope (semantic: codebook 0, audio: the others, total), num_codebooks, avg_nll, kbps.
 
-    frame_rate is an expression that is constant within a group.
+    metrics: rows or cells. frame_rate is an expression that is constant within a group.
     """
     scope = F.when(F.col("codebook") == 0, "semantic").otherwise("audio")
-    rows = metrics.where(F.col("codebook").isNotNull()).select(*by, scope.alias("scope"), "codebook", finite(F.col("nll")).alias("nll"), frame_rate.alias("rate"))
-    cells = rows.groupBy(*by, "scope", "codebook").agg(F.sum("nll").alias("s"), F.count("nll").alias("n"), F.max("rate").alias("rate"))
-    both = cells.withColumn("scope", F.explode(F.array("scope", F.lit("total"))))
+    books = as_cells(metrics).where(F.col("codebook").isNotNull()).groupBy(*by, scope.alias("scope"), "codebook").agg(F.sum("nll_sum").alias("s"), F.sum("nll_n").alias("n"), F.max(frame_rate).alias("rate"))
+    both = books.withColumn("scope", F.explode(F.array("scope", F.lit("total"))))
     out = both.groupBy(*by, "scope").agg(F.count(F.lit(1)).alias("num_codebooks"), ratio(F.sum("s"), F.sum("n")).alias("avg_nll"), F.max("rate").alias("rate"))
     return out.withColumn("kbps", kbits_per_second(F.col("avg_nll"), F.col("rate"), F.col("num_codebooks"))).drop("rate")
 
@@ -93,7 +126,7 @@ def nll_summary(metrics: DataFrame, by: Sequence[str], frame_rate: Column) -> Da
 def nll_breakdown(metrics: DataFrame, by: Sequence[str], frame_rate: Column) -> DataFrame:
     """nll_summary's rows (codebook '-') and one row per codebook, each with its share_pct of the group's total kbps."""
     groups = nll_summary(metrics, by, frame_rate).withColumn("codebook", F.lit("-"))
-    cell = metrics.where(F.col("codebook").isNotNull()).groupBy(*by, "codebook").agg(ratio(F.sum(finite(F.col("nll"))), F.count(finite(F.col("nll")))).alias("avg_nll"), F.max(frame_rate).alias("rate"))
+    cell = as_cells(metrics).where(F.col("codebook").isNotNull()).groupBy(*by, "codebook").agg(ratio(F.sum("nll_sum"), F.sum("nll_n")).alias("avg_nll"), F.max(frame_rate).alias("rate"))
     books = cell.select(
         *by, F.when(F.col("codebook") == 0, "semantic").otherwise("audio").alias("scope"), F.lit(1).cast("long").alias("num_codebooks"), "avg_nll",
         kbits_per_second(F.col("avg_nll"), F.col("rate"), F.lit(1)).alias("kbps"), F.lpad(F.col("codebook").cast("string"), 2, "0").alias("codebook"),
@@ -104,19 +137,21 @@ def nll_breakdown(metrics: DataFrame, by: Sequence[str], frame_rate: Column) ->
 
 def codebook_entropy(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean entropy in bits of each codebook."""
-    return metrics.groupBy(*by, "codebook").agg((F.avg(finite(F.col("entropy"))) / F.ln(F.lit(2.0))).alias("entropy_bits"))
+    return as_cells(metrics).groupBy(*by, "codebook").agg((_mean("entropy") / F.ln(F.lit(2.0))).alias("entropy_bits"))
 
 
-def group_entropy(metrics: DataFrame, by: Sequence[str], codebooks: Column) -> DataFrame:
+def group_entropy(metrics: DataFrame, by: Sequence[str], codebooks: Column, latest: bool = False) -> DataFrame:
     """Mean entropy in bits per frame (by) of three groups of codebooks: columns semantic, audio_half_1, audio_half_2.
 
-    The halves are codebooks 1 to K div 2 and those after it; null where a half has no codebook.
+    The halves are codebooks 1 to K div 2 and those after it; null where a half has no codebook. latest:
+    only each sequence's last computation; by then holds model, row_id and seq_id.
     """
     bits = finite(F.col("entropy")) / F.ln(F.lit(2.0))
     k, mid = F.col("codebook"), F.floor(codebooks / 2)
-    return metrics.groupBy(*by).agg(
+    out = metrics.groupBy(*by, *(["computed_at"] if latest else [])).agg(
         F.avg(F.when(k == 0, bits)).alias("semantic"), F.avg(F.when((k >= 1) & (k <= mid), bits)).alias("audio_half_1"), F.avg(F.when(k > mid, bits)).alias("audio_half_2"),
     )
+    return _last_run(out).drop("computed_at") if latest else out
 
 
 def group_frame_records(groups: DataFrame, keys: Sequence[str], frame: str, frame_rate: Column | None = None) -> DataFrame:
@@ -129,12 +164,13 @@ def group_frame_records(groups: DataFrame, keys: Sequence[str], frame: str, fram
 def row_metrics(metrics: DataFrame) -> DataFrame:
     """Per model, row and codebook: mean entropy and NLL in bits over all frames of the row."""
     bit = F.ln(F.lit(2.0))
-    return metrics.groupBy("model", "row_id", "codebook").agg((F.avg(finite(F.col("entropy"))) / bit).alias("entropy_bits"), (F.avg(finite(F.col("nll"))) / bit).alias("nll_bits"))
+    return as_cells(metrics).groupBy("model", "row_id", "codebook").agg((_mean("entropy") / bit).alias("entropy_bits"), (_mean("nll") / bit).alias("nll_bits"))
 
 
-def frame_offsets(metrics: DataFrame, per: int = 65_536) -> DataFrame:
-    """Where each sequence's frames begin among those of its row: model, row_id, seq_id, n_frames, frame_offset."""
-    counts = metrics.groupBy("model", "row_id", "seq_id").agg(F.countDistinct("frame_idx").alias("n_frames"))
+def frame_offsets(metrics: DataFrame, per: int = 65_536, latest: bool = False) -> DataFrame:
+    """Where each sequence's frames begin among those of its row: model, row_id, seq_id, n_frames, frame_offset. latest: as in group_entropy."""
+    counts = metrics.groupBy("model", "row_id", "seq_id", *(["computed_at"] if latest else [])).agg(F.countDistinct("frame_idx").alias("n_frames"))
+    counts = _last_run(counts).drop("computed_at") if latest else counts
     ends = running_sum(counts, ["model", "row_id"], F.floor(F.col("seq_id") / per), ["seq_id"], F.col("n_frames"), "__end")
     return ends.withColumn("frame_offset", F.col("__end") - F.col("n_frames")).drop("__end")
 
@@ -149,15 +185,13 @@ def available_rows(metrics: DataFrame, first: int | None = None) -> DataFrame:
 
 def quality_gate(metrics: DataFrame, vocabulary: Column, share: float = 0.9) -> DataFrame:
     """Per model and codebook: mean NLL, the chance level ln(vocabulary), whether the mean is below a share of it, and how far NLL exceeds entropy."""
-    n, e = finite(F.col("nll")), finite(F.col("entropy"))
-    out = metrics.groupBy("model", "codebook").agg(F.avg(n).alias("avg_nll"), F.avg(F.when(e.isNotNull(), n)).alias("__n"), F.avg(F.when(n.isNotNull(), e)).alias("__e"), F.ln(F.max(vocabulary)).alias("chance"))
-    return out.select("model", "codebook", "avg_nll", "chance", (F.col("avg_nll") < share * F.col("chance")).alias("passes"), (F.col("__n") - F.col("__e")).alias("excess"))
+    out = as_cells(metrics).groupBy("model", "codebook").agg(_mean("nll").alias("avg_nll"), _mean("excess").alias("excess"), F.ln(F.max(vocabulary)).alias("chance"))
+    return out.select("model", "codebook", "avg_nll", "chance", (F.col("avg_nll") < share * F.col("chance")).alias("passes"), "excess")
 
 
 def residual_eval(metrics: DataFrame, frame_rate: Column) -> DataFrame:
     """The frame-weighted NLL of codebooks 1 and up, per model: n_frames, avg_nll over codebooks, kbps, the worst codebook and its NLL."""
-    n = finite(F.col("nll"))
-    books = metrics.where("codebook >= 1").groupBy("model", "codebook").agg(F.sum(n).alias("s"), F.count(n).alias("c"), F.max(frame_rate).alias("rate")).withColumn("a", ratio(F.col("s"), F.col("c")))
+    books = as_cells(metrics).where("codebook >= 1").groupBy("model", "codebook").agg(F.sum("nll_n").alias("c"), F.max(frame_rate).alias("rate"), ratio(F.sum("nll_sum"), F.sum("nll_n")).alias("a"))
     out = books.groupBy("model").agg(F.max("c").alias("n_frames"), F.avg("a").alias("avg_nll"), F.count(F.lit(1)).alias("k"), F.max("rate").alias("rate"), F.max(F.struct("a", (-F.col("codebook")).alias("neg"))).alias("w"))
     return out.select("model", "n_frames", "avg_nll", kbits_per_second(F.col("avg_nll"), F.col("rate"), F.col("k")).alias("kbps"), (-F.col("w.neg")).alias("worst_codebook"), F.col("w.a").alias("worst_nll"))
 

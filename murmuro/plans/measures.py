@@ -10,9 +10,13 @@ from murmuro.session import table
 
 
 def _rows(spark: SparkSession, base: str) -> DataFrame:
-    """The last computation of every sequence, with its model's frame rate and number of codebooks (layouts: a row per model)."""
-    latest = M.latest_runs(table(spark, base, "model_metrics"))
-    return latest.join(table(spark, base, "layouts").select("model", "frame_rate", "num_codebooks"), "model")
+    """The metrics with their model's frame rate and number of codebooks (layouts: a row per model)."""
+    return table(spark, base, "model_metrics").join(table(spark, base, "layouts").select("model", "frame_rate", "num_codebooks"), "model")
+
+
+def _cells(spark: SparkSession, base: str) -> DataFrame:
+    """The last computation of every sequence as sums per codebook, with its model's frame rate."""
+    return M.latest_cells(table(spark, base, "model_metrics")).join(table(spark, base, "layouts").select("model", "frame_rate"), "model")
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -20,19 +24,19 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def nll_summary(spark: SparkSession, base: str) -> DataFrame:
-    return _rounded(M.nll_summary(_rows(spark, base), ["model"], F.col("frame_rate")), "avg_nll", "kbps")
+    return _rounded(M.nll_summary(_cells(spark, base), ["model"], F.col("frame_rate")), "avg_nll", "kbps")
 
 
 def nll_breakdown_share(spark: SparkSession, base: str) -> DataFrame:
-    return _rounded(M.nll_breakdown(_rows(spark, base), ["model"], F.col("frame_rate")), "avg_nll", "kbps", "share_pct")
+    return _rounded(M.nll_breakdown(_cells(spark, base), ["model"], F.col("frame_rate")), "avg_nll", "kbps", "share_pct")
 
 
 def codebook_mean_entropy_bits(spark: SparkSession, base: str) -> DataFrame:
-    return _rounded(M.codebook_entropy(_rows(spark, base), ["model"]), "entropy_bits")
+    return _rounded(M.codebook_entropy(_cells(spark, base), ["model"]), "entropy_bits")
 
 
 def _halves(spark: SparkSession, base: str) -> DataFrame:
-    return M.group_entropy(_rows(spark, base), ["model", "row_id", "seq_id", "frame_idx", "frame_rate"], F.col("num_codebooks"))
+    return M.group_entropy(_rows(spark, base), ["model", "row_id", "seq_id", "frame_idx", "frame_rate"], F.col("num_codebooks"), latest=True)
 
 
 def entropy_halves(spark: SparkSession, base: str) -> DataFrame:
@@ -45,11 +49,11 @@ def group_frame_records(spark: SparkSession, base: str) -> DataFrame:
 
 
 def row_metrics(spark: SparkSession, base: str) -> DataFrame:
-    return _rounded(M.row_metrics(_rows(spark, base)), "entropy_bits", "nll_bits")
+    return _rounded(M.row_metrics(_cells(spark, base)), "entropy_bits", "nll_bits")
 
 
 def frame_offsets(spark: SparkSession, base: str) -> DataFrame:
-    return M.frame_offsets(_rows(spark, base))
+    return M.frame_offsets(_rows(spark, base), latest=True)
 
 
 def available_rows(spark: SparkSession, base: str) -> DataFrame:
@@ -58,7 +62,7 @@ def available_rows(spark: SparkSession, base: str) -> DataFrame:
 
 def row_pooled_summary(spark: SparkSession, base: str) -> DataFrame:
     """The summary of the first ten rows of each model, frames pooled."""
-    rows = _rows(spark, base)
+    rows = _cells(spark, base)
     return _rounded(M.nll_summary(rows.join(M.available_rows(rows, 10), ["model", "row_id"], "left_semi"), ["model"], F.col("frame_rate")), "avg_nll", "kbps")
 
 
@@ -68,16 +72,16 @@ def models_discovery(spark: SparkSession, base: str) -> DataFrame:
 
 def quality_gate_chance(spark: SparkSession, base: str) -> DataFrame:
     """Against the chance level of 2051 codes."""
-    return _rounded(M.quality_gate(_rows(spark, base), F.lit(2051.0)), "avg_nll", "chance", "excess")
+    return _rounded(M.quality_gate(_cells(spark, base), F.lit(2051.0)), "avg_nll", "chance", "excess")
 
 
 def residual_eval(spark: SparkSession, base: str) -> DataFrame:
-    return _rounded(M.residual_eval(_rows(spark, base), F.col("frame_rate")), "avg_nll", "kbps", "worst_nll")
+    return _rounded(M.residual_eval(_cells(spark, base), F.col("frame_rate")), "avg_nll", "kbps", "worst_nll")
 
 
 def summary_table(spark: SparkSession, base: str) -> DataFrame:
     """The cells of the summary table, as they are printed."""
-    s = M.nll_summary(_rows(spark, base), ["model"], F.col("frame_rate"))
+    s = M.nll_summary(_cells(spark, base), ["model"], F.col("frame_rate"))
 
     def of(scope: str, column: str) -> Column:
         return F.max(F.when(F.col("scope") == scope, F.col(column)))

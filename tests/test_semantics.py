@@ -57,6 +57,16 @@ def test_latest_runs(spark):
     assert sorted(r["x"] for r in M.latest_runs(df).collect()) == ["b", "c", "d"]
 
 
+def test_sums_of_the_last_run_are_those_of_its_rows(spark):
+    rows = [("m", r, s, f, k, float(f + k), float(run * 100 + f), run) for r in (1, None) for s in (0, None) for run in ((1, 2) if s == 0 else (3,)) for f in range(3) for k in range(2)]
+    rows.append(("m", 1, 0, 9, 0, float("nan"), 5.0, 2))
+    df = spark.createDataFrame(rows, "model string, row_id long, seq_id int, frame_idx int, codebook int, entropy float, nll float, computed_at int")
+    direct = M.nll_summary(M.latest_runs(df), ["model"], F.lit(12.5)).collect()
+    assert sorted(M.nll_summary(M.latest_cells(df), ["model"], F.lit(12.5)).collect()) == sorted(direct)
+    frames = ["model", "row_id", "seq_id", "frame_idx"]
+    assert sorted(M.group_entropy(df, frames, F.lit(2), latest=True).collect(), key=repr) == sorted(M.group_entropy(M.latest_runs(df), frames, F.lit(2)).collect(), key=repr)
+
+
 def test_layouts(spark):
     assert value(spark, S.text_column(F.lit(-1), F.lit(32)), S.text_column(F.lit(0), F.lit(10)), F.size(S.audio_channels(F.lit(-1), F.lit(16)))) == (32, 0, 16)
 
