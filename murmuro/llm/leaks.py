@@ -22,8 +22,9 @@ from murmuro.llm.lookalike import learn, rewrite
 WINDOW = 12
 # The masks; 1 is hashed, 0 is passed over.
 MASKS = ("111011010111", "110110111011", "101101101101")
-#: Test items that are looked for in one pass over the corpus; more are taken in blocks of so many.
-BLOCK_ITEMS = 20_000
+#: Test items, and characters of them, that are looked for in one pass over the corpus; more are taken in
+#: blocks of so many. An item with more characters is a block of its own.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 #: One changed word in so many is allowed within a tolerant overlap.
 CHANGED_ONE_IN = 6
 
@@ -138,10 +139,20 @@ def leaks_in(items: Items, texts: list[np.ndarray]) -> list[tuple[int, int, int,
     return [(int(t), int(k), a, b) for (t, k), (a, b) in best.items()]
 
 
+_built: list[tuple[object, Items]] = []
+
+
+def _ready(sent: tuple) -> Items:
+    """The items of a broadcast, made once in a worker."""
+    if not _built or _built[0][0] is not sent:
+        _built[:] = [(sent, Items(*sent))]
+    return _built[0][1]
+
+
 def find(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """Rows (doc, item, item_words, words_in_row, words_with_changes) for each document that shares a seed with an item.
 
-    The test items are taken in blocks of BLOCK_ITEMS, each with one pass over the whole corpus, so
+    The test items are taken in blocks of BLOCK_ITEMS at most, each with one pass over the whole corpus, so
     what is sent to the workers has a bound. Null and blank texts and items without words match
     nothing. Repeated documents are reported each.
     """
@@ -152,11 +163,14 @@ def find(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "
 
     def passes() -> Iterator[list[tuple[int, str | None]]]:
         block: list[tuple[int, str | None]] = []
+        chars = 0
         for row in listed.toLocalIterator():
-            block.append((row[0], row[1]))
-            if len(block) == BLOCK_ITEMS:
+            size = len(row[1] or "")
+            if block and (len(block) == BLOCK_ITEMS or chars + size > BLOCK_CHARS):
                 yield block
-                block = []
+                block, chars = [], 0
+            block.append((row[0], row[1]))
+            chars += size
         if block:
             yield block
 
@@ -164,8 +178,8 @@ def find(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "
         sent = spark.sparkContext.broadcast((block, table))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            wanted, forms = sent.value
-            ready = Items(wanted, forms)
+            forms = sent.value[1]
+            ready = _ready(sent.value)
             number = ready.numbers.get
             for pdf in batches:
                 ids = [np.array([number(w, 0) for w in words_of(t, forms)], np.int64) for t in pdf["__text"]]

@@ -51,6 +51,7 @@ SCHEMA = "doc_id long, text string, item_id string, item_words string, words_in_
 @pytest.mark.parametrize("seed", range(2))
 def test_against_all_pairs(spark, monkeypatch, seed, block):
     monkeypatch.setattr(K, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(K, "BLOCK_CHARS", 300 if block == 7 and seed else 10_000_000)
     docs, items = corpus(random.Random(seed))
     d = spark.createDataFrame([(*r, *["x"] * 4) for r in docs], SCHEMA).repartition(4)
     e = spark.createDataFrame([(*r, "x") for r in items], "item_id int, text string, doc_id string")
