@@ -42,7 +42,7 @@ def dataset_info(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, base: str, drop_last: bool) -> DataFrame:
-    return H.frame_batches(_records(spark, base), ["model"], None, ["row_id", "seq_id"], "frames", BATCH, drop_last)
+    return H.frame_batches(_records(spark, base).select("model", "row_id", "seq_id", "frames"), ["model"], None, ["row_id", "seq_id"], "frames", BATCH, drop_last)
 
 
 def frame_batches(spark: SparkSession, base: str) -> DataFrame:

@@ -12,17 +12,17 @@ from murmuro.operators import spans as P
 from murmuro.operators.compaction import shard_records
 from murmuro.operators.intervals import valid_segments
 from murmuro.operators.ordered import greedy_pack, islands, numbered, trimmed_context, with_recent
-from murmuro.session import table
+from murmuro.session import store, table
 from murmuro.sources.tables import missing, selected
 
 #: Segments in a bucket in which order is kept.
 SPAN_SEQUENCES = 65_536
 
 
-def _valid(spark: SparkSession, base: str) -> DataFrame:
-    """Each valid segment once, with its length."""
+def _valid(spark: SparkSession, base: str, *columns: str) -> DataFrame:
+    """Each valid segment once, with its length and the given columns."""
     v = valid_segments(table(spark, base, "segments"))
-    row = F.struct("start_ms", "end_ms", "source_audio_channel_id", "text", "speaker")
+    row = F.struct("start_ms", "end_ms", *columns)
     once = v.groupBy("source_dataset_id", "segment_id").agg(F.min(row).alias("r")).select("source_dataset_id", "segment_id", "r.*")
     return once.withColumn("length_ms", F.col("end_ms") - F.col("start_ms"))
 
@@ -50,13 +50,13 @@ def segment_frame_bounds(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _bounds(spark: SparkSession, base: str) -> DataFrame:
-    rows = _valid(spark, base).select("source_dataset_id", "source_audio_channel_id", "segment_id", (F.col("start_ms") / 1000).alias("start_sec"), (F.col("end_ms") / 1000).alias("end_sec"))
+    rows = _valid(spark, base, "source_audio_channel_id").select("source_dataset_id", "source_audio_channel_id", "segment_id", (F.col("start_ms") / 1000).alias("start_sec"), (F.col("end_ms") / 1000).alias("end_sec"))
     return G.frame_bounds(rows, F.lit(12.5), F.lit(1 << 40))
 
 
 def segment_frames_range_join(spark: SparkSession, base: str) -> DataFrame:
     """How many segments hold each second's first frame, by channel: an interval join of frames and segments."""
-    b = _bounds(spark, base)
+    b = store(_bounds(spark, base), "bounds")
     last = b.groupBy("source_dataset_id", "source_audio_channel_id").agg(F.max("frame_end").alias("n"))
     frames = last.select("source_dataset_id", "source_audio_channel_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(25).cast("long"))).alias("frame"))
     held = G.frames_of_segments(b, frames, ["source_dataset_id", "source_audio_channel_id"], "frame")
@@ -68,23 +68,23 @@ def channel_frames(spark: SparkSession, base: str) -> DataFrame:
 
 
 def speaker_first_appearance(spark: SparkSession, base: str) -> DataFrame:
-    return G.speaker_numbers(_valid(spark, base))
+    return G.speaker_numbers(_valid(spark, base, "speaker"))
 
 
 def words_per_second_gate(spark: SparkSession, base: str) -> DataFrame:
-    s = _valid(spark, base).where("text is not null")
+    s = _valid(spark, base, "text").where("text is not null")
     return s.select("source_dataset_id", "segment_id", S.word_count(F.col("text")).cast("int").alias("words"), S.is_collapsed(F.col("text"), F.col("length_ms") / 1000).alias("collapsed"))
 
 
 def context_window(spark: SparkSession, base: str) -> DataFrame:
     """The earlier turns that fit 30 seconds, for each segment of a recording in order of its number."""
-    out = trimmed_context(_valid(spark, base), ["source_dataset_id"], F.floor(F.col("segment_id") / SPAN_SEQUENCES), ["segment_id"], "length_ms", 30_000)
+    out = trimmed_context(store(_valid(spark, base), "turns"), ["source_dataset_id"], F.floor(F.col("segment_id") / SPAN_SEQUENCES), ["segment_id"], "length_ms", 30_000)
     return out.select("source_dataset_id", "segment_id", "context_turns", "context_ms")
 
 
 def stitch_offsets(spark: SparkSession, base: str) -> DataFrame:
     """Where each segment begins if a recording's segments are put one after another with gaps of 300 ms."""
-    out = D.stitch(_valid(spark, base), ["source_dataset_id"], F.floor(F.col("segment_id") / SPAN_SEQUENCES), ["segment_id"], "length_ms", 300)
+    out = D.stitch(store(_valid(spark, base), "turns"), ["source_dataset_id"], F.floor(F.col("segment_id") / SPAN_SEQUENCES), ["segment_id"], "length_ms", 300)
     return out.select("source_dataset_id", "segment_id", "offset_ms")
 
 
@@ -163,7 +163,7 @@ def sequence_length_gate(spark: SparkSession, base: str) -> DataFrame:
 
 def template_spans(spark: SparkSession, base: str) -> DataFrame:
     """Each segment as a sequence of its own: a token per byte of '[id] text', audio at 12.5 Hz, six prefix tokens and one at the end."""
-    s = _valid(spark, base).where("text is not null")
+    s = _valid(spark, base, "text").where("text is not null")
     text = F.octet_length(F.concat(F.lit("[0] "), F.ltrim("text")))
     frames = F.ceil(F.col("end_ms") * 12.5 / 1000) - F.floor(F.col("start_ms") * 12.5 / 1000)
     placed = P.template(s, text, frames, 6, 1, ["segment_id"], ["source_dataset_id", "segment_id"])
