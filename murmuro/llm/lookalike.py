@@ -176,8 +176,9 @@ def canonical(df: DataFrame, text: str, out: str, table: frozenset | None = None
 
 def same_look(df: DataFrame, ident: str, text: str) -> DataFrame:
     """One row per text that shows something: ident, form (hash of its consistent form), stored (hash of it as stored)."""
-    rows = canonical(df.select(F.col(ident).alias("__id"), F.col(text).alias("__text")), "__text", "__form").where("__form <> ''")
-    return store(rows.select(F.col("__id").alias(ident), F.md5("__form").alias("form"), F.md5("__text").alias("stored")), "forms")
+    rows = canonical(df.select(F.col(ident).alias("__id"), F.col(text).alias("__text")), "__text", "__form")
+    shown = F.when(F.col("__form") != "", F.md5("__form"))  # a filter here would have the form worked out twice
+    return store(rows.select(F.col("__id").alias(ident), shown.alias("form"), F.md5("__text").alias("stored")), "forms").where("form is not null")
 
 
 def pairs(df: DataFrame, ident: str, text: str) -> DataFrame:
