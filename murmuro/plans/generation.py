@@ -32,11 +32,11 @@ def _generated(spark: SparkSession, base: str) -> DataFrame:
 def generation_speed(spark: SparkSession, base: str) -> DataFrame:
     """Elapsed over audio (rtf) and its reciprocal (speed_x) of each prompt."""
     g = _generated(spark, base)
-    return g.select("user_id", "num_steps", *[F.round(c, 5).alias(c) for c in ("elapsed_s", "audio_s", "rtf", "speed_x", "tokens_per_s")])
+    return g.select("user_id", "num_steps", *[F.round(c, 9).alias(c) for c in ("elapsed_s", "audio_s", "rtf", "speed_x", "tokens_per_s")])
 
 
 def bench_aggregate_rtf(spark: SparkSession, base: str) -> DataFrame:
-    return T.bench_aggregate(_generated(spark, base)).withColumn("mean_rtf", F.round("mean_rtf", 5))
+    return T.bench_aggregate(_generated(spark, base)).withColumn("mean_rtf", F.round("mean_rtf", 9))
 
 
 def duration_format(spark: SparkSession, base: str) -> DataFrame:
@@ -48,7 +48,7 @@ def bench_metrics_json(spark: SparkSession, base: str) -> DataFrame:
     """The nested record of a report per component, as JSON."""
     v = F.col("value")
     s = T.step_stats(_steps(spark, base), ["event_type"], v, v * 0.4, v * 0.6, v * 0.1)
-    record = F.to_json(F.struct(F.struct(F.round("gen_total", 2).alias("total"), F.round("gen_mean", 2).alias("per_step")).alias("generate_ms"), F.struct(F.round("decode_total", 2).alias("total")).alias("codec_decode_ms")))
+    record = F.to_json(F.struct(F.struct(F.round("gen_total", 6).alias("total"), F.round("gen_mean", 6).alias("per_step")).alias("generate_ms"), F.struct(F.round("decode_total", 6).alias("total")).alias("codec_decode_ms")))
     return s.select("event_type", F.get_json_object(record, "$.generate_ms.per_step").cast("double").alias("per_step"), F.get_json_object(record, "$.codec_decode_ms.total").cast("double").alias("decode_total"))
 
 
@@ -90,12 +90,12 @@ _N = "n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event
 SQL = {
     "step_timing_stats": """SELECT event_type, count(*) AS n, round(sum(value), 4) AS gen_total, round(avg(value), 4) AS gen_mean, round(avg(value * 0.4::DOUBLE), 4) AS backbone_mean, round(avg(value * 0.6::DOUBLE), 4) AS depth_mean,
         round(sum(value * 0.1::DOUBLE), 4) AS decode_total, round(sum(value * 0.1::DOUBLE) / count(*), 4) AS decode_mean, round(count(*) / (sum(value) / 1000), 4) AS rate FROM events WHERE value IS NOT NULL GROUP BY 1""",
-    "generation_speed": f"""WITH {_G} SELECT user_id, num_steps, round(elapsed_s, 5) AS elapsed_s, round(audio_s, 5) AS audio_s, round(elapsed_s / audio_s, 5) AS rtf, round(audio_s / elapsed_s, 5) AS speed_x,
-        round(num_steps / elapsed_s, 5) AS tokens_per_s FROM g""",
-    "bench_aggregate_rtf": f"WITH {_G} SELECT count(*) AS num_prompts, CAST(sum(num_steps) AS BIGINT) AS num_steps, round(avg(elapsed_s / audio_s), 5) AS mean_rtf FROM g",
+    "generation_speed": f"""WITH {_G} SELECT user_id, num_steps, round(elapsed_s, 9) AS elapsed_s, round(audio_s, 9) AS audio_s, round(elapsed_s / audio_s, 9) AS rtf, round(audio_s / elapsed_s, 9) AS speed_x,
+        round(num_steps / elapsed_s, 9) AS tokens_per_s FROM g""",
+    "bench_aggregate_rtf": f"WITH {_G} SELECT count(*) AS num_prompts, CAST(sum(num_steps) AS BIGINT) AS num_steps, round(avg(elapsed_s / audio_s), 9) AS mean_rtf FROM g",
     "duration_format": f"""WITH {_G}, s AS (SELECT user_id, audio_s * 37 AS s FROM g)
         SELECT user_id, printf('%02d:%02d:%06.3f', CAST(floor(s) AS BIGINT) // 3600, CAST(floor(s) AS BIGINT) % 3600 // 60, s - floor(s / 60) * 60) AS text FROM s""",
-    "bench_metrics_json": "SELECT event_type, round(avg(value), 2) AS per_step, round(sum(value * 0.1::DOUBLE), 2) AS decode_total FROM events WHERE value IS NOT NULL GROUP BY 1",
+    "bench_metrics_json": "SELECT event_type, round(avg(value), 6) AS per_step, round(sum(value * 0.1::DOUBLE), 6) AS decode_total FROM events WHERE value IS NOT NULL GROUP BY 1",
     "stop_take_while": f"""WITH {_N}, s AS (SELECT user_id, min(pos) AS stop FROM n WHERE event_type = 'error' GROUP BY 1)
         SELECT n.user_id, count(*) AS n, max(pos) AS last_pos FROM n LEFT JOIN s ON n.user_id = s.user_id WHERE stop IS NULL OR pos < stop GROUP BY 1""",
     "emit_chunks": f"WITH {_N} SELECT user_id, pos // 25 AS chunk_no, count(*) AS n_frames, count(*) < 25 AS is_final FROM n GROUP BY 1, 2",
