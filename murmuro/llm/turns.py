@@ -366,10 +366,11 @@ def _decode(around: dict[int, Context], scores: list[float]) -> Callable[[Iterat
 
 
 def cleaned(segments: DataFrame) -> DataFrame:
-    """The valid segments with spoken words, each once: rec, seg, start, end (ms), speaker (letters:number or null), text.
+    """The valid segments, each once: rec, seg, start, end (ms), speaker (letters:number or null), text ('' without spoken words).
 
     Of rows with the same recording and segment number that differ, the one with the least start, end,
-    text and label counts.
+    text and label counts. A filter on the text belongs after this has been written; before, it would
+    have texts cleaned twice.
     """
     kept = valid_segments(segments).where("source_dataset_id is not null and segment_id is not null and text is not null")
     once = kept.groupBy("source_dataset_id", "segment_id").agg(F.min(F.struct("start_ms", "end_ms", "text", F.coalesce("speaker", F.lit("")).alias("speaker"))).alias("r"))
@@ -384,7 +385,7 @@ def cleaned(segments: DataFrame) -> DataFrame:
 
     return (
         once.select(F.col("source_dataset_id").cast("long").alias("rec"), F.col("segment_id").cast("int").alias("seg"), F.col("r.start_ms").alias("start"), F.col("r.end_ms").alias("end"), read("r.speaker", "r.text").alias("c"))
-        .select("rec", "seg", "start", "end", "c.speaker", "c.text").where("text <> ''")
+        .select("rec", "seg", "start", "end", "c.speaker", "c.text")
     )
 
 
@@ -396,7 +397,7 @@ def turns(segments: DataFrame) -> DataFrame:
     change is likelier than none. Null and empty texts and segments without valid times are left out.
     """
     order = ["rec", "start", "end", "seg"]
-    ordered = cut(store(cleaned(segments), "cleaned").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    ordered = cut(store(cleaned(segments), "cleaned").where("text <> ''").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     rows = ordered.mapInPandas(_summarise, _SUMMARY).collect()
     scores = border_scores(*[[sum(r[k][c] for r in rows) for c in range(CELLS)] for k in ("same", "changed")])
     return _joined(store(ordered.mapInPandas(_decode(contexts(rows, scores), scores), _PIECES), "pieces"))
