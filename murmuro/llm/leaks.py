@@ -12,9 +12,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from murmuro.llm.lookalike import learn, rewrite
 
@@ -159,7 +161,9 @@ def find(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "
     spark = corpus.sparkSession
     table = learn(corpus.select(text).unionByName(items.select(text)), text)
     listed = items.select(item, text).orderBy(item)
-    schema = f"{doc} {dict(corpus.dtypes)[doc]}, {item} {dict(items.dtypes)[item]}, item_words int, words_in_row int, words_with_changes int"
+    counts = [T.StructField(c, T.IntegerType()) for c in ("item_words", "words_in_row", "words_with_changes")]
+    schema = T.StructType([corpus.schema[doc], items.schema[item], *counts])
+    kinds = to_arrow_schema(schema)
 
     def passes() -> Iterator[list[tuple[int, str | None]]]:
         block: list[tuple[int, str | None]] = []
@@ -177,17 +181,20 @@ def find(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "
     def search(block: list[tuple[int, str | None]]) -> DataFrame:
         sent = spark.sparkContext.broadcast((block, table))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forms = sent.value[1]
             ready = _ready(sent.value)
             number = ready.numbers.get
-            for pdf in batches:
-                ids = [np.array([number(w, 0) for w in words_of(t, forms)], np.int64) for t in pdf["__text"]]
-                idents = pdf["__doc"].tolist()
-                rows = [(idents[t], ready.items[k][0], len(ready.items[k][1]), a, b) for t, k, a, b in leaks_in(ready, ids)]
-                yield pd.DataFrame(rows, columns=[doc, item, "item_words", "words_in_row", "words_with_changes"])
-
-        return corpus.select(F.col(doc).alias("__doc"), F.col(text).alias("__text")).mapInPandas(run, schema)
+            for batch in batches:
+                ids = [np.array([number(w, 0) for w in words_of(t, forms)], np.int64) for t in batch.column(1).to_pylist()]
+                found = leaks_in(ready, ids)
+                columns = [
+                    batch.column(0).take(pa.array([t for t, *_ in found], pa.int64())), pa.array([ready.items[k][0] for _, k, *_ in found], kinds.field(1).type),
+                    *[pa.array(v, pa.int32()) for v in ([len(ready.items[k][1]) for _, k, *_ in found], [a for *_, a, _ in found], [b for *_, b in found])],
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+        return corpus.select(F.col(doc).alias("__doc"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
     out = None
     for block in passes():

@@ -84,14 +84,16 @@ def pack(items: DataFrame, group: str, ident: Sequence[str], size: str, capacity
     zero and negative sizes need no window and have no row. Ties and repeated rows are items like others.
     """
     ident = list(ident)
-    rows = items.select(group, *ident, F.col(size).cast("long").alias("__size")).where("__size > 0")
+    exact = [items.schema[c].dataType for c in (group, *ident)]
+    # as text: a nullable integer would reach pandas as a float
+    rows = items.select(*[F.col(c).cast("string").alias(c) for c in (group, *ident)], F.col(size).cast("long").alias("__size")).where("__size > 0")
     parts = rows.withColumn("part_no", F.explode(F.sequence(F.lit(0), ((F.col("__size") - 1) / capacity).cast("int")))).withColumn("__size", F.least(F.lit(capacity).cast("long"), F.col("__size") - F.col("part_no") * capacity))
     name = F.concat_ws("/", F.coalesce(F.col(group).cast("string"), F.lit("none")), *[F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ident])
     full = parts.where(F.col("__size") == capacity).select(group, *ident, "part_no", F.concat_ws("/", F.lit("full"), name, F.col("part_no")).alias("window"), F.lit(0).cast("long").alias("window_start"), F.col("__size").alias(size))
     rest = parts.where(F.col("__size") < capacity)
     totals = rest.groupBy(F.col(group).alias("__group")).agg(F.greatest(F.lit(1), F.ceil(F.sum("__size") / (capacity * BLOCK_WINDOWS))).cast("int").alias("__blocks"))
     dealt = rest.join(totals, F.col(group).eqNullSafe(F.col("__group"))).withColumn("__block", F.pmod(F.xxhash64(*ident, "part_no"), F.col("__blocks")).cast("int")).drop("__group", "__blocks")
-    schema = T.StructType([*[items.schema[c] for c in (group, *ident)], T.StructField("part_no", T.IntegerType()), T.StructField("window", T.StringType()), T.StructField("window_start", T.LongType()), T.StructField(size, T.LongType())])
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in (group, *ident)], T.StructField("part_no", T.IntegerType()), T.StructField("window", T.StringType()), T.StructField("window_start", T.LongType()), T.StructField(size, T.LongType())])
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*ident, "part_no"], kind="stable")
@@ -101,4 +103,5 @@ def pack(items: DataFrame, group: str, ident: Sequence[str], size: str, capacity
         pdf["window_start"] = pdf.groupby("__w")["__size"].cumsum() - pdf["__size"]
         return pdf.rename(columns={"__size": size})[schema.names]
 
-    return full.unionByName(dealt.groupBy(group, "__block").applyInPandas(packed, schema))
+    out = full.unionByName(dealt.groupBy(group, "__block").applyInPandas(packed, schema))
+    return out.withColumns({c: F.col(c).cast(t) for c, t in zip((group, *ident), exact)})
