@@ -130,6 +130,7 @@ def periods_and_gaps(df: DataFrame, by: Sequence[str], start: str, end: str) ->
         .groupBy(*ids, F.col(start).cast("long").alias("__start"))
         .agg(F.max(F.col(end).cast("long")).alias("__end"))
         .withColumn("__key", key)
+        .withColumns({c: F.col(c).cast("string") for c in ids})  # a nullable integer would reach pandas as a float
     )
     ordered = cut(
         rows.repartitionByRange("__key", "__start")
@@ -140,7 +141,7 @@ def periods_and_gaps(df: DataFrame, by: Sequence[str], start: str, end: str) ->
     carried, closing = combine(found)
     fields = [ordered.schema[c] for c in ids]
     schema = T.StructType([*fields, T.StructField("kind", T.StringType()), T.StructField("from_ms", T.LongType()), T.StructField("to_ms", T.LongType())])
-    return ordered.mapInPandas(_rescan(ids, carried, closing), schema)
+    return ordered.mapInPandas(_rescan(ids, carried, closing), schema).withColumns({c: F.col(c).cast(df.schema[c].dataType) for c in ids})
 
 
 def _summary_schema(df: DataFrame, ids: list[str]) -> T.StructType:

@@ -12,8 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from murmuro.session import cut
 
@@ -132,8 +135,8 @@ def greedy_pack(df: DataFrame, by: Sequence[str], order: Sequence[str], length:
         else:
             fill, chunk = r["fill"][0], r["chunks"][0] - 1
         at = r["last_key"]
-    schema = ordered.drop("__key", "__len", "__part").schema.add("chunk_no", "long").add("oversized", "boolean")
-    return ordered.mapInPandas(_pack_rows(carried, limit, schema.names), schema)
+    schema = T.StructType([*df.schema.fields, T.StructField("chunk_no", T.LongType()), T.StructField("oversized", T.BooleanType())])
+    return ordered.mapInArrow(_pack_rows(carried, limit, len(df.columns), to_arrow_schema(schema)), schema)
 
 
 def _walk(lengths: list[int], fill: int, chunk: int, limit: int) -> Iterator[tuple[int, int]]:
@@ -177,17 +180,18 @@ def _pack_tables(limit: int):
     return run
 
 
-def _pack_rows(carried: dict[int, tuple[int, int]], limit: int, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack_rows(carried: dict[int, tuple[int, int]], limit: int, width: int, kinds: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fill, chunk = None, 0, -1
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
+            keys, lengths = batch.column("__key").to_pylist(), batch.column("__len").to_pylist()
             if key is None:
-                key = pdf["__key"].iloc[0]
-                fill, chunk = carried[int(pdf["__part"].iloc[0])]
+                key = keys[0]
+                fill, chunk = carried[batch.column("__part")[0].as_py()]
             numbers = []
-            for k, n in zip(pdf["__key"].tolist(), pdf["__len"].tolist()):
+            for k, n in zip(keys, lengths):
                 if k != key:
                     key, fill, chunk = k, 0, -1
                 if fill and fill + n <= limit:
@@ -195,6 +199,7 @@ def _pack_rows(carried: dict[int, tuple[int, int]], limit: int, names: list[str]
                 else:
                     chunk, fill = chunk + 1, n
                 numbers.append(chunk)
-            yield pdf.assign(chunk_no=numbers, oversized=pdf["__len"] > limit)[names]
+            added = [pa.array(numbers, pa.int64()), pa.array([n > limit for n in lengths])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *added], schema=kinds)
 
     return run
