@@ -63,3 +63,9 @@ def test_milliseconds(spark):
     df = spark.createDataFrame(rows, "start_sec double, end_sec double")
     assert [(r["start_ms"], r["end_ms"]) for r in valid_segments(df).collect()] == [(0, 1)]
     assert spark.range(1).select(to_ms(F.lit(1e300))).first()[0] is None
+
+
+def test_large_numbers_beside_nulls_stay_exact(spark):
+    big = (1 << 60) + 1
+    got = periods_and_gaps(spark.createDataFrame([(big, 0, 1), (None, 0, 1), (big, 5, 6)], "k long, s long, e long"), ["k"], "s", "e").collect()
+    assert {r["k"] for r in got} == {big, None}
