@@ -97,3 +97,10 @@ def test_a_very_long_text(spark):
     passage = " ".join(f"v{i}" for i in range(14))
     docs = spark.createDataFrame([(1, "word " * 200_000 + passage)], "doc_id long, text string")
     assert K.leaked(K.find(docs, spark.createDataFrame([(1, passage)], "item_id int, text string"))).count() == 1
+
+
+def test_large_and_null_ids(spark):
+    big, text = (1 << 60) + 1, "a b c d"
+    docs = spark.createDataFrame([(big, text), (None, text)], "doc_id long, text string")
+    got = K.leaked(K.find(docs, spark.createDataFrame([(big, text), (None, text)], "item_id long, text string"))).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(a, b) for a in (big, None) for b in (big, None)}

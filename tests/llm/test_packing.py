@@ -75,3 +75,9 @@ def test_repeated_rows_are_items_and_empty_is_empty(spark):
 @pytest.mark.parametrize("n", [0, 1])
 def test_few_items(n):
     assert P.windows_of(np.full(n, 5, np.int64), 10).tolist() == [0] * n
+
+
+def test_large_and_null_ids(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([("a", big, 1, 5, "", "", ""), ("a", None, None, 5, "", "", "")], SCHEMA)
+    assert {r["row_id"] for r in P.pack(df, "model", ["row_id", "seq_id"], "frames", 100).collect()} == {big, None}
