@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuro.functions.scalars import frame_end, frame_start
+from murmuro.sources.tables import split_valid
 
 # Where a transcript may stand in a row, in this order.
 TRANSCRIPT_KEYS = ("json", "turns", "transcript", "segments")
@@ -43,6 +44,19 @@ def recordings_once(raw: DataFrame) -> DataFrame:
     return raw.groupBy("row_id").agg(*[F.max_by(c, when).alias(c) for c in ("dataset", "split_name", "sample_rate", "num_channels", "duration_sec")])
 
 
+def ingest(rows: DataFrame, row: str = "row") -> tuple[DataFrame, DataFrame]:
+    """Rows of a data set (row, sample_rate, num_channels, duration_sec and a transcript) as segments, and what fails, with its reason.
+
+    Failures are segments that don't fit their recording and rows without a readable transcript
+    ('no transcript', segment_id null); write_failures keeps them.
+    """
+    about = ["sample_rate", "num_channels", "duration_sec"]
+    items = parse_transcripts(rows, [row, *about]).drop("valid")
+    good, bad = split_valid(items, validity(F.col("channel"), F.col("num_channels"), F.col("start_sec"), F.col("end_sec"), F.col("duration_sec"), F.col("sample_rate")))
+    lost = rows.select(row).join(items.select(row).distinct(), row, "left_anti").select(row, F.lit(None).cast("int").alias("segment_id"), F.lit("no transcript").alias("reason"))
+    return good, bad.select(row, "segment_id", "reason").unionByName(lost)
+
+
 def check_segments(segments: DataFrame, raw: DataFrame) -> DataFrame:
     """segments with reason: 'no recording', or validity's."""
     r = recordings_once(raw).select(F.col("row_id").alias("__row"), F.col("num_channels").alias("__channels"), F.when(~F.isnan("duration_sec"), F.col("duration_sec")).alias("__duration"), F.col("sample_rate").alias("__rate"))

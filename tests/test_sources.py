@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from murmuro.operators import models as M
 from murmuro.operators.metrics import summary_text
-from murmuro.operators.segments import parse_transcripts, slice_codes
+from murmuro.operators.segments import ingest, parse_transcripts, slice_codes
 from murmuro.sources import audio, checkpoints, tables, tars
 
 
@@ -75,6 +75,13 @@ def test_transcripts(spark, tmp_path):
     ]
 
 
+def test_ingest(spark):
+    rows = [(1, 8000, 1, 10.0, '[{"start": 0, "end": 2}, {"start": 3, "end": 3}, {"start": 0, "end": 11}, {"start": 0, "end": 1, "channel": 1}]'), (2, 8000, 1, 10.0, "none"), (3, None, None, None, '{"turns": [{"start": 0, "end": 99}]}')]
+    good, bad = ingest(spark.createDataFrame(rows, "row int, sample_rate int, num_channels int, duration_sec double, transcript string"))
+    assert sorted((r["row"], r["segment_id"]) for r in good.collect()) == [(1, 0), (3, 0)]
+    assert sorted((r["row"], r["segment_id"] or 0, r["reason"]) for r in bad.collect()) == [(1, 1, "reversed"), (1, 2, "late"), (1, 3, "channel"), (2, 0, "no transcript")]
+
+
 def test_prompts_scripts_and_rows(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"text": "one"}\n\n  \n{"text": "two"}\n')
     assert [r["text"] for r in tables.read_prompts(spark, str(tmp_path / "p.jsonl")).collect()] == ["one", "two"]
