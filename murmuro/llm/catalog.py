@@ -196,6 +196,25 @@ def _same_look_sql(text: str) -> str:
 
 _FORM = _same_look_sql("text")
 _WORDS = f"list_filter(string_split(regexp_replace(replace(lower({_FORM}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_NAME = r"[a-z]{2,}[\s_.-]*(?:no[\s_.-]*)?\d+"
+_TURNS = rf"""
+    WITH v AS (
+      SELECT DISTINCT source_dataset_id AS r, segment_id AS g, CAST(round(start_sec * 1000) AS BIGINT) AS s, CAST(round(end_sec * 1000) AS BIGINT) AS e,
+             regexp_replace(regexp_replace(lower({_FORM}), '[\[(<{{]?\s*\d{{1,3}}(?::\d{{2}}){{1,2}}(?:[.,]\d{{1,3}})?\s*[\])>}}]?(?:\s+-\s)?', ' ', 'g'), '\[\s*\d+(?:[.,]\d+)?\s*s\s*\]', ' ', 'g') AS t,
+             lower({_same_look_sql("speaker")}) AS p
+      FROM segments WHERE text IS NOT NULL AND source_dataset_id IS NOT NULL AND round(end_sec * 1000) > round(start_sec * 1000)
+    ), n AS (
+      SELECT *, coalesce(nullif(regexp_extract(p, '{_NAME}'), ''), regexp_extract(t, '^\s*(?:<\s*v\s|\[)?\s*({_NAME})', 1)) AS name,
+             regexp_replace(regexp_replace(t, '^\s*{_NAME}\s*(?:\([^)]*\))?\s*(?:>>|:)', ' '),
+               '<[^<>]*>|\[[^\[\]]*\]|\(\([^()]*\)\)|\([^()]*\)|\{{[^{{}}]*\}}|\*[^*]+\*|#[^#\s][^#]*[^#\s]#|♪[^♪]*♪', ' ', 'g') AS u FROM v
+    ), w AS (
+      SELECT *, regexp_extract(name, '^[a-z]+') || ':' || CAST(CAST(regexp_extract(name, '\d+$') AS BIGINT) AS VARCHAR) AS who,
+             list_filter(regexp_extract_all(regexp_replace(u, '\p{{L}}{{1,2}}-(?:\s|$)', ' ', 'g'), '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: NOT regexp_full_match(x, '{turns.HESITATIONS}')) AS words FROM n
+    ), o AS (
+      SELECT *, CASE WHEN lag(who) OVER q IS NOT DISTINCT FROM who THEN 0 ELSE 1 END AS begins, row_number() OVER q AS k FROM w WHERE len(words) > 0 WINDOW q AS (PARTITION BY r ORDER BY s, e, g)
+    ), c AS (SELECT *, sum(begins) OVER (PARTITION BY r ORDER BY k) AS turn FROM o)
+    SELECT r AS source_dataset_id, arg_min(g, k) AS first_segment_id, arg_max(g, k) AS last_segment_id FROM c GROUP BY r, turn
+"""
 _FINITE = """
     FROM (SELECT *, unnest([{'metric': 'entropy', 'v': entropy}, {'metric': 'nll', 'v': nll}], recursive := true) FROM model_metrics)
     WHERE isfinite(v)
@@ -230,6 +249,7 @@ SQL = {
     "p3_found": f"WITH RECURSIVE {_LINKS} SELECT a AS row_id, least(a, min(b)) AS group_row_id FROM reach GROUP BY a",
     "p3_shares": "SELECT split, true AS near, 0 AS torn FROM (VALUES ('train'), ('validation'), ('test')) t(split)",
     "p1_error_bound": f"SELECT model, codebook, metric, count(*) AS n, true AS within {_FINITE} GROUP BY ALL",
+    "p2_found": _TURNS,
     "p9_found": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
         dg AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
