@@ -24,6 +24,13 @@ def p6_shards(spark: SparkSession, base: str) -> DataFrame:
     return plan.groupBy("bin").agg(F.countDistinct("shard_file").alias("n_files"), F.count(F.lit(1)).alias("n_records"), F.sum("n_bytes").alias("n_bytes"))
 
 
+def p6_totals(spark: SparkSession, base: str) -> DataFrame:
+    """Per model: records and bytes of the new set, and whether its files keep to their size and are less than half as many."""
+    plan = plan_shards(store(record_manifest(table(spark, base, "shard_meta")), "manifest"), SHARD_BYTES)
+    bins = plan.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b"), F.countDistinct("shard_file").alias("f"))
+    return bins.groupBy("model").agg(F.sum("n").alias("n_records"), F.sum("b").alias("n_bytes"), (F.max("b") <= SHARD_BYTES).alias("within"), (F.count(F.lit(1)) * 2 < F.sum("f")).alias("fewer"))
+
+
 def p6_records(spark: SparkSession, base: str) -> DataFrame:
     """Each record of the new set, read back from its files."""
     return compact_records(table(spark, base, "shard_meta"), SHARD_BYTES).select("model", "row_id", "seq_id", "n_bytes", F.lit(1).alias("n"))
@@ -44,7 +51,7 @@ def p7_periods(spark: SparkSession, base: str) -> DataFrame:
     return periods.select("source_dataset_id", "source_audio_channel_id", F.col("from_ms").alias("start_ms"), F.col("to_ms").alias("end_ms"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_shards": p6_shards, "p6_records": p6_records, "p7_found": p7_found, "p7_periods": p7_periods}
+QUERIES = {"p6_found": p6_found, "p6_shards": p6_shards, "p6_totals": p6_totals, "p6_records": p6_records, "p7_found": p7_found, "p7_periods": p7_periods}
 
 _RECORDS = r"""
     SELECT coalesce(nullif(lower(trim(model)), ''), lower(split_part(shard_file, '/', 2))) AS model,
@@ -70,6 +77,10 @@ SQL = {
           SELECT *, row_number() OVER (PARTITION BY model, row_id, seq_id
             ORDER BY written_at DESC NULLS LAST, has_kv DESC NULLS LAST, n_bytes DESC NULLS LAST, audio_frames DESC NULLS LAST, shard_file DESC) AS k
           FROM ({_RECORDS})) WHERE k = 1""",
+    "p6_totals": f"""
+        SELECT model, count(*) AS n_records, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, true AS within, true AS fewer FROM (
+          SELECT * FROM ({_RECORDS}) QUALIFY row_number() OVER (PARTITION BY model, row_id, seq_id
+            ORDER BY written_at DESC NULLS LAST, has_kv DESC NULLS LAST, n_bytes DESC NULLS LAST, audio_frames DESC NULLS LAST, shard_file DESC) = 1) GROUP BY model""",
     "p7_found": _ISLANDS + """
         SELECT source_dataset_id, source_audio_channel_id, top AS gap_start_ms, s AS gap_end_ms FROM m WHERE s > top""",
     "p7_periods": _ISLANDS + """
