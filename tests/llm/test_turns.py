@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -109,3 +110,25 @@ def test_no_labels_at_all_empty_and_clashing(spark):
     names = ("rec", "seg", "start", "end", "part", "r", "c", "k", "joins", "turn_no", "n", "before", "start_ms", "end_ms")
     wide = spark.createDataFrame([(*r, *names) for r in rows], SCHEMA + "".join(f", {c} string" for c in names))
     assert U.turns(wide).count() == 1
+
+
+def test_the_border_of_an_open_stretch_is_that_of_the_best_segmentation():
+    rng = random.Random(9)
+    for _ in range(200):
+        n = rng.randrange(1, 7)
+        odds = [rng.uniform(-3, 3) for _ in range(n + 1)]  # of a change before each open segment and before the next labelled one
+        stay = [-math.log1p(math.exp(b)) for b in odds]
+
+        def score(speakers):
+            row = ["L", *speakers, "R"]
+            return sum(stay[i] + (odds[i] if row[i] != row[i + 1] else 0.0) for i in range(n + 1))
+
+        one_change = [["L"] * k + ["R"] * (n - k) for k in range(n + 1)]
+        best = max(one_change, key=score)
+        assert U.best_border([(b, i) for i, b in enumerate(odds)]) == best.count("L")
+
+
+def test_border_scores_are_log_odds_of_counts():
+    assert U.border_scores([9, 0], [0, 9]) == pytest.approx([-math.log(10), math.log(10)])
+    long_pause, none = U.cell_of(5000, frozenset("ab"), frozenset("cd")), U.cell_of(-500, frozenset("ab"), frozenset("ab"))
+    assert 0 <= none < long_pause < U.CELLS
