@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmuro.operators.compaction import first_fit_decreasing
+from murmuro.session import store
 
 #: Windows of a block, about: the number of parts that differencing handles at once.
 BLOCK_WINDOWS = 64
@@ -88,6 +89,7 @@ def pack(items: DataFrame, group: str, ident: Sequence[str], size: str, capacity
     # as text: a nullable integer would reach pandas as a float
     rows = items.select(*[F.col(c).cast("string").alias(c) for c in (group, *ident)], F.col(size).cast("long").alias("__size")).where("__size > 0")
     parts = rows.withColumn("part_no", F.explode(F.sequence(F.lit(0), ((F.col("__size") - 1) / capacity).cast("int")))).withColumn("__size", F.least(F.lit(capacity).cast("long"), F.col("__size") - F.col("part_no") * capacity))
+    parts = store(parts, "parts")  # read three times below
     name = F.concat_ws("/", F.coalesce(F.col(group).cast("string"), F.lit("none")), *[F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ident])
     full = parts.where(F.col("__size") == capacity).select(group, *ident, "part_no", F.concat_ws("/", F.lit("full"), name, F.col("part_no")).alias("window"), F.lit(0).cast("long").alias("window_start"), F.col("__size").alias(size))
     rest = parts.where(F.col("__size") < capacity)
