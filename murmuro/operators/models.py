@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from murmuro.session import parallelism
+
 
 class ModelBackend(Protocol):
     frame_rate: float
@@ -69,20 +71,24 @@ def _nested(array: np.ndarray) -> pa.Array:
 
 
 def featurized(df: DataFrame, key: str, frames: str, backend: ModelBackend, at_once: int = 1024) -> DataFrame:
-    """For each row and frame of its audio: key, frame_idx, targets and logits (one array per codebook). Rows without frames have none."""
-    kind = df.schema[key]
+    """For each row and frame of its audio: key, frame_idx, targets and logits (one array per codebook). Rows without frames have none.
+
+    Rows are dealt to tasks by stretches of at_once frames: a small table grows much here, and one row
+    may hold much of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for at in range(0, int(n), at_once):
-                    codes = backend.audio_codes(f"{k}/{at}", min(at_once, int(n) - at))
-                    scores = backend.logits(f"{k}/{at}", codes)
-                    columns = [pa.array([k] * len(codes), batch.schema.field(0).type), pa.array(np.arange(at, at + len(codes), dtype=np.int32)), _nested(codes.astype(np.int32)), _nested(scores.astype(np.float64))]
-                    yield pa.RecordBatch.from_arrays(columns, [key, "frame_idx", "targets", "logits"])
-
-    schema = T.StructType([kind, T.StructField("frame_idx", T.IntegerType()), T.StructField("targets", T.ArrayType(T.IntegerType())), T.StructField("logits", T.ArrayType(T.ArrayType(T.DoubleType())))])
-    return df.where(F.col(frames) > 0).select(key, frames).mapInArrow(run, schema)
+            for i, (n, at) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                k = f"{batch.column(0)[i].as_py()}/{at}"
+                codes = backend.audio_codes(k, min(at_once, n - at))
+                scores = backend.logits(k, codes)
+                columns = [batch.column(0).take(pa.array([i] * len(codes))), pa.array(np.arange(at, at + len(codes), dtype=np.int32)), _nested(codes.astype(np.int32)), _nested(scores.astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "frame_idx", "targets", "logits"])
+
+    schema = T.StructType([df.schema[key], T.StructField("frame_idx", T.IntegerType()), T.StructField("targets", T.ArrayType(T.IntegerType())), T.StructField("logits", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    stretches = df.where(F.col(frames) > 0).select(key, F.col(frames).cast("int").alias("__n")).withColumn("__at", F.explode(F.sequence(F.lit(0), F.col("__n") - 1, F.lit(at_once))))
+    return stretches.repartition(parallelism(df.sparkSession), key, "__at").mapInArrow(run, schema)
 
 
 def audio_cache(cache: np.ndarray, start: int, end: int) -> np.ndarray | None:
