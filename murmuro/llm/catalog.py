@@ -247,7 +247,7 @@ SQL = {
     "p5_cover": f"{_LENGTHS} SELECT model, row_id, seq_id, CAST(ceil(frames / rate * 1000) AS BIGINT) AS end_ms, true AS sound FROM r WHERE frames / rate > 30",
     "p5_found": f"{_LENGTHS} SELECT model, row_id, seq_id FROM r WHERE frames / rate > 30",
     "p3_found": f"WITH RECURSIVE {_LINKS} SELECT a AS row_id, least(a, min(b)) AS group_row_id FROM reach GROUP BY a",
-    "p3_shares": "SELECT split, true AS near, 0 AS torn FROM (VALUES ('train'), ('validation'), ('test')) t(split)",
+    "p3_shares": "SELECT split, true AS near, CAST(0 AS BIGINT) AS torn FROM (VALUES ('train'), ('validation'), ('test')) t(split)",
     "p1_error_bound": f"SELECT model, codebook, metric, count(*) AS n, true AS within {_FINITE} GROUP BY ALL",
     "p2_found": _TURNS,
     "p9_found": f"""
