@@ -6,8 +6,8 @@ sign. The coarse resolutions are counted exactly. Sketches of partitions, days o
 by addition, and rows are deleted by adding them with a negative count. A percentile is found by
 descending from the coarsest resolution, at each step into the half that holds the wanted rank.
 
-Beside the counters a sketch keeps the exact counts of up to KEPT values; what doesn't fit moves
-into the counters, rarest first. So a small group is exact, and values that fill much of a group (ties)
+Beside the counters a sketch keeps exact counts of values; when they are more than 2 * KEPT, all but
+the KEPT most frequent move into the counters. So a small group is exact, and values that fill much of a group (ties)
 don't disturb its counters.
 
 Error: the rank of the answer differs from the wanted rank by less than RANK_ERROR times the number of
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 BITS, EXACT_BITS, ROWS, WIDTH_BITS = 32, 13, 3, 9
 WIDTH = 1 << WIDTH_BITS
 LEVELS = BITS - EXACT_BITS
-#: Values with exact counts in a sketch.
+#: Values that keep exact counts when others move into the counters.
 KEPT = 8192
 RANK_ERROR = 0.005
 #: Bytes of sketches that a task holds before it passes them on, and rows it looks at at once.
