@@ -76,9 +76,9 @@ def text_tokens(spark: SparkSession, base: str) -> DataFrame:
 
 
 def toy_pipeline_e2e(spark: SparkSession, base: str) -> DataFrame:
-    """Recordings to codes, logits, frame metrics and a summary, with the backend that needs no weights."""
+    """All recordings of a positive, finite duration to codes, logits, frame metrics and a summary, with the backend that needs no weights."""
     backend = ToyBackend()
-    rows = table(spark, base, "raw_rows").where("not isnan(duration_sec) and duration_sec < 120").groupBy("row_id").agg(F.max("duration_sec").alias("d"))
+    rows = table(spark, base, "raw_rows").where("duration_sec > 0 and duration_sec < double('infinity')").groupBy("row_id").agg(F.max("duration_sec").alias("d"))
     frames = rows.select(F.col("row_id").cast("string").alias("key"), F.ceil(F.col("d") * backend.frame_rate).cast("int").alias("frames"))
     scored = M.audio_frame_metrics(featurized(frames, "key", "frames", backend), "logits", "targets")
     out = M.nll_summary(scored.withColumn("model", F.lit("toy")), ["model"], F.lit(backend.frame_rate))

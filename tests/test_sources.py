@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from murmuro.operators import models as M
 from murmuro.operators.metrics import summary_text
 from murmuro.operators.segments import ingest, parse_transcripts, slice_codes
+from murmuro.plans import forms
 from murmuro.sources import audio, checkpoints, tables, tars
 
 
@@ -130,6 +131,19 @@ def test_backend_and_cache(spark):
     assert M.audio_cache(cache, 0, 5) is None and M.audio_cache(cache, 2, 99) is None
 
 
+def test_pipeline_takes_recordings_of_any_length(spark, tmp_path):
+    rows = [(1, 10.0), (2, 200.0), (2, 90.0), (3, float("nan")), (4, float("inf")), (5, 0.0), (6, -3.0), (7, None)]
+    spark.createDataFrame(rows, "row_id long, duration_sec double").write.parquet(f"{tmp_path}/raw_rows.parquet")
+    backend, parts = M.ToyBackend(), []
+    for key, n in (("1/0", 125), ("2/0", 1024), ("2/1024", 1024), ("2/2048", 452)):
+        codes = backend.audio_codes(key, n)
+        x = backend.logits(key, codes)
+        parts.append(np.log(np.exp(x).sum(-1)) - np.take_along_axis(x, codes[..., None], 2)[..., 0])
+    nll = np.concatenate(parts)
+    got = {r["scope"]: r["avg_nll"] for r in forms.toy_pipeline_e2e(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({"semantic": nll[:, 0].mean(), "audio": nll[:, 1:].mean(), "total": nll.mean()}, abs=2e-6)
+
+
 def test_trend_follows_a_line(spark):
     df = spark.range(500).selectExpr("'g' as g", "cast(id as double) as x", "3.0 * id + 1 as y")
     got = M.loess(df, ["g"], "x", "y").collect()
