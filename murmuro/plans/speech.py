@@ -55,12 +55,21 @@ def _bounds(spark: SparkSession, base: str) -> DataFrame:
 
 
 def segment_frames_range_join(spark: SparkSession, base: str) -> DataFrame:
-    """How many segments hold each second's first frame, by channel: an interval join of frames and segments."""
+    """How many segments hold every 25th frame (one in two seconds), by channel. segment_frames_all has every frame."""
+    return _held(spark, base, 25)
+
+
+def segment_frames_all(spark: SparkSession, base: str) -> DataFrame:
+    """How many segments hold each frame, by channel: an interval join of all frames and segments. Frames that none holds have no row."""
+    return _held(spark, base, 1)
+
+
+def _held(spark: SparkSession, base: str, step: int) -> DataFrame:
+    by = ["source_dataset_id", "source_audio_channel_id"]
     b = store(_bounds(spark, base), "bounds")
-    last = b.groupBy("source_dataset_id", "source_audio_channel_id").agg(F.max("frame_end").alias("n"))
-    frames = last.select("source_dataset_id", "source_audio_channel_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(25).cast("long"))).alias("frame"))
-    held = G.frames_of_segments(b, frames, ["source_dataset_id", "source_audio_channel_id"], "frame")
-    return held.groupBy("source_dataset_id", "source_audio_channel_id", "frame").agg(F.count(F.lit(1)).alias("n_segments"))
+    last = b.groupBy(*by).agg(F.max("frame_end").alias("n"))
+    frames = last.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("frame"))
+    return G.frames_of_segments(b, frames, by, "frame").groupBy(*by, "frame").agg(F.count(F.lit(1)).alias("n_segments"))
 
 
 def channel_frames(spark: SparkSession, base: str) -> DataFrame:
@@ -204,7 +213,7 @@ def layout_columns(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    segment_checks, transcript_json_parse, segment_frame_bounds, segment_frames_range_join, channel_frames, speaker_first_appearance, words_per_second_gate, context_window, stitch_offsets, retry_pick,
+    segment_checks, transcript_json_parse, segment_frame_bounds, segment_frames_range_join, segment_frames_all, channel_frames, speaker_first_appearance, words_per_second_gate, context_window, stitch_offsets, retry_pick,
     missing_rows_anti, selected_rows_semi, rows_exceptall, union_groups, row_counts, span_offsets, spans_of_kind, span_kind_pivot, span_checks, audio_feature_slice, sequence_length_gate,
     template_spans, packed_sequences, contiguous_spans, ras_repeat_flag, token_mask_validate, layout_columns,
 )}
@@ -238,6 +247,8 @@ SQL = {
     "segment_frames_range_join": f"""WITH {_B}, l AS (SELECT source_dataset_id, source_audio_channel_id, max(fe) AS n FROM b GROUP BY ALL),
         f AS (SELECT source_dataset_id, source_audio_channel_id, unnest(range(0, n, 25)) AS frame FROM l)
         SELECT f.source_dataset_id, f.source_audio_channel_id, frame, count(*) AS n_segments FROM f JOIN b ON b.source_dataset_id = f.source_dataset_id AND b.source_audio_channel_id = f.source_audio_channel_id AND frame >= fs AND frame < fe GROUP BY ALL""",
+    "segment_frames_all": f"""WITH {_B}, f AS (SELECT source_dataset_id, source_audio_channel_id, unnest(range(fs, fe)) AS frame FROM b)
+        SELECT source_dataset_id, source_audio_channel_id, frame, count(*) AS n_segments FROM f GROUP BY ALL""",
     "channel_frames": f"""WITH {_B}, x AS (SELECT *, unnest(range(fs // 256, (fe - 1) // 256 + 1)) AS bin FROM b)
         SELECT source_dataset_id, source_audio_channel_id, bin, count(*) AS n_segments, CAST(sum(least(fe, (bin + 1) * 256) - greatest(fs, bin * 256)) AS BIGINT) AS n_frames FROM x GROUP BY ALL""",
     "speaker_first_appearance": f"""WITH {_V} SELECT source_dataset_id, speaker, CAST(row_number() OVER (PARTITION BY source_dataset_id ORDER BY min(segment_id), encode(speaker)) - 1 AS INT) AS speaker_no

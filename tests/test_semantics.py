@@ -14,6 +14,7 @@ from murmuro.operators import segments as G
 from murmuro.operators import shards as H
 from murmuro.operators import spans as P
 from murmuro.operators import timing as T
+from murmuro.plans import speech
 
 
 def value(spark, *exprs):
@@ -34,6 +35,16 @@ def test_frames_of_the_golden_segment(spark, rate, frames):
     assert value(spark, S.frame_start(F.lit(-1.0), F.lit(rate)), S.frame_end(F.lit(1e6), F.lit(rate), F.lit(100))) == (0, 100)
 
 
+def test_every_frame_meets_its_segments(spark, tmp_path):
+    rows = [(1, 0, 0, 0.0, 1.0), (1, 0, 1, 0.5, 3.1), (1, 0, 2, 2.5, 2.7), (1, 1, 3, 0.3, 0.4), (2, 0, 4, 30.0, 30.2), (2, 0, 5, 5.0, 4.0)]
+    spark.createDataFrame(rows, "source_dataset_id long, source_audio_channel_id int, segment_id int, start_sec double, end_sec double").write.parquet(f"{tmp_path}/segments.parquet")
+    want = {}
+    for row, channel, _, start, end in rows:
+        for f in range(math.floor(start * 12.5), math.ceil(end * 12.5)):
+            want[row, channel, f] = want.get((row, channel, f), 0) + 1
+    assert {tuple(r)[:3]: r["n_segments"] for r in speech.segment_frames_all(spark, str(tmp_path)).collect()} == want
+
+
 def metrics(spark, rows):
     return spark.createDataFrame(rows, "model string, row_id long, seq_id int, frame_idx int, codebook int, entropy float, nll float")
 
