@@ -3,7 +3,8 @@
 A seed is a fixed mask over a window of words; what it hashes are the words at the mask's places, so a
 changed word at another place doesn't hide the window. The hashes of all windows of the test items are
 joined with those of all windows of the corpus, and around each hit the two texts are laid side by
-side, whole, and compared word by word with room for substitutions.
+side, whole, and compared word by word with room for substitutions. Where every overlap of OVERLAP words
+with changes is wanted, the seeds are RUN words in a row, which each such overlap has.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ MASKS = ("111011010111", "110110111011", "101101101101")
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 #: One changed word in so many is allowed within a tolerant overlap.
 CHANGED_ONE_IN = 6
+#: Words of the shortest tolerant overlap that is looked for, and the words in a row that every tolerant overlap of that length or more has somewhere.
+OVERLAP, RUN = 8, 4
 
 _MARKS = re.compile(r"[\W_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -60,8 +63,10 @@ def seed_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
     return _mix(out)
 
 
-def masks_for(length: int) -> list[str]:
-    """The masks for items of a length: short items are taken whole, by the masks' beginnings."""
+def masks_for(length: int, tolerant: bool = False) -> list[str]:
+    """The masks for items of a length: short items are taken whole, by the masks' beginnings. tolerant: RUN words in a row."""
+    if tolerant:
+        return ["1" * min(length, RUN)]
     if length >= WINDOW:
         return list(MASKS)
     return sorted({m[:length] for m in MASKS})
@@ -70,13 +75,13 @@ def masks_for(length: int) -> list[str]:
 class Items:
     """Test items, ready to be looked for. Those without words aren't looked for."""
 
-    def __init__(self, items: list[tuple[int, str | None]], table: frozenset) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], table: frozenset, tolerant: bool = False) -> None:
         spelled = [(i, words_of(t, table)) for i, t in items]
         self.numbers: dict[str, int] = {}
         self.items = [(i, np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in ws], np.int64)) for i, ws in spelled if ws]
         by_mask: dict[str, list[tuple[int, int, int]]] = {}
         for k, (_, ids) in enumerate(self.items):
-            for mask in masks_for(len(ids)):
+            for mask in masks_for(len(ids), tolerant):
                 by_mask.setdefault(mask, []).extend((int(h), k, p) for p, h in enumerate(seed_hashes(ids, mask)))
         self.seeds = {}
         for mask, found in by_mask.items():
@@ -107,16 +112,16 @@ def longest_run(same: np.ndarray) -> tuple[int, int]:
     return int(lengths[best]), int(edges[2 * best])
 
 
-def tolerant_overlap(same: np.ndarray, start: int, length: int) -> int:
-    """Words of the longest overlap that holds the run [start, start + length) and has one change in CHANGED_ONE_IN words at most; it begins and ends with words that agree."""
+def tolerant_overlap(same: np.ndarray, start: int | None = None, length: int = 0) -> int:
+    """Words of the longest overlap with one change in CHANGED_ONE_IN words at most, which holds the run [start, start + length) if start is given; it begins and ends with words that agree."""
+    first, last = (len(same), 0) if start is None else (start, start + length)
     good = np.concatenate(([0], np.cumsum(np.where(same, 1, 1 - CHANGED_ONE_IN))))
-    begins, ends = np.flatnonzero(same[: start + 1]), start + length + np.flatnonzero(np.concatenate(([True], same[start + length :])))
-    best = length
-    for end in ends[::-1]:
-        fits = begins[good[begins] <= good[end]]
-        if len(fits):
-            best = max(best, int(end - fits[0]))
-    return best
+    begins, ends = np.flatnonzero(same[: first + 1]), last + np.flatnonzero(np.concatenate(([True], same[last:])))
+    if not len(begins):
+        return length
+    at = np.searchsorted(-np.minimum.accumulate(good[begins]), -good[ends])  # the first begin from which an end is reached
+    fits = at < len(begins)
+    return max(length, int((ends[fits] - begins[at[fits]]).max(initial=0)))
 
 
 def leaks_in(items: Items, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
@@ -133,9 +138,9 @@ def leaks_in(items: Items, texts: list[np.ndarray]) -> list[tuple[int, int, int,
     for t, k, shift in np.unique(np.stack([text, found[:, 1], found[:, 2] - begins[text]], axis=1), axis=0):
         ids, wanted = texts[t], items.items[k][1]
         lo, hi = max(0, -shift), min(len(wanted), len(ids) - shift)
-        run, start = longest_run(ids[lo + shift : hi + shift] == wanted[lo:hi]) if hi > lo else (0, 0)
+        run, _ = longest_run(ids[lo + shift : hi + shift] == wanted[lo:hi]) if hi > lo else (0, 0)
         if run:
-            tolerant = tolerant_overlap(ids[lo + shift : hi + shift] == wanted[lo:hi], start, run)
+            tolerant = tolerant_overlap(ids[lo + shift : hi + shift] == wanted[lo:hi])
             old = best.get((t, k), (0, 0))
             best[t, k] = (max(old[0], run), max(old[1], tolerant))
     return [(int(t), int(k), a, b) for (t, k), (a, b) in best.items()]
@@ -151,9 +156,10 @@ def _ready(sent: tuple) -> Items:
     return _built[0][1]
 
 
-def find(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+def find(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", tolerant: bool = False) -> DataFrame:
     """Rows (doc, item, item_words, words_in_row, words_with_changes) for each document that shares a seed with an item.
 
+    No pair with WINDOW words in a row, or with a whole shorter item, is missed; with tolerant, none with OVERLAP words with changes either.
     The test items are taken in blocks of BLOCK_ITEMS at most, each with one pass over the whole corpus, so
     what is sent to the workers has a bound. Null and blank texts and items without words match
     nothing. Repeated documents are reported each.
@@ -179,7 +185,7 @@ def find(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "
             yield block
 
     def search(block: list[tuple[int, str | None]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast((block, table))
+        sent = spark.sparkContext.broadcast((block, table, tolerant))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forms = sent.value[1]

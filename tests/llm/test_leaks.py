@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from murmuro.llm import leaks as K
+from murmuro.llm.catalog import p9_overlaps
 from murmuro.llm.lookalike import learn
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -87,6 +88,61 @@ def test_tolerant_overlap():
     assert K.longest_run(np.zeros(4, bool)) == (0, 0)
 
 
+def longest_tolerant(p, ws):
+    """Words of the longest stretch of both that begins and ends with equal words and has one change in six at most, over all pairs of places."""
+    best = 0
+    for i in range(len(p)):
+        for j in range(len(ws)):
+            changed = 0
+            for n, (a, b) in enumerate(zip(p[i:], ws[j:]), 1):
+                changed += a != b
+                if n == 1 and a != b:
+                    break
+                if a == b and changed * K.CHANGED_ONE_IN <= n:
+                    best = max(best, n)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_all_tolerant_overlaps_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    items = [(i, " ".join(f"v{rng.randrange(200)}" for _ in range(rng.choice([3, 7, 8, 9, 11, 12, 20, 40])))) for i in range(20)]
+    docs = []
+    for d in range(150):
+        words = [f"u{rng.randrange(50)}" for _ in range(20)]
+        p = rng.choice(items)[1].split()
+        a = rng.randrange(len(p))
+        cut = p[a : a + rng.choice([7, 8, 9, 10, 11, 12, 18, 40])]
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            cut[rng.randrange(len(cut))] = "changed"
+        docs.append((d, " ".join(words[:10] + cut + words[10:])))
+    docs += [(900, "u1 " + " ".join(items[0][1].split()[:7]) + " u2")]
+    want = {}
+    for d, text in docs:
+        for i, passage in items:
+            if (n := longest_tolerant(passage.split(), text.split())) >= K.OVERLAP:
+                want[d, i] = n
+    found = K.find(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id int, text string"), tolerant=True)
+    assert {(r["doc_id"], r["item_id"]): r["words_with_changes"] for r in found.where(f"words_with_changes >= {K.OVERLAP}").collect()} == want
+
+
+def test_overlaps_of_8_to_11_words_and_of_short_items(spark, tmp_path):
+    item = [f"v{i}" for i in range(30)]
+    short = [f"s{i}" for i in range(10)]
+    spans = {1: item[10:18], 2: item[3:14], 3: short[1:9], 4: item[5:9] + ["x"] + item[10:12] + ["x"] + item[13:17], 5: item[10:17], 6: item[:3] + ["x"] + item[4:8]}
+    docs = [(d, " ".join(["a", "b", *words, "c", "d"])) for d, words in spans.items()]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id int, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = {(r["doc_id"], r["item_id"]): r["words_with_changes"] for r in p9_overlaps(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): 8, (2, 1): 11, (3, 2): 8, (4, 1): 12, (6, 1): 8}
+
+
+def test_every_tolerant_overlap_has_a_run():
+    for n in range(K.OVERLAP, 200):
+        changes = n // K.CHANGED_ONE_IN
+        assert -(-(n - changes) // (changes + 1)) >= K.RUN
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id int, text string")
     assert K.find(docs, items).count() == 0
