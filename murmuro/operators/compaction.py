@@ -72,7 +72,7 @@ def pack_files(files: DataFrame, group: Sequence[str], name: str, size: str, tar
 
 def checksum(columns: Sequence[str]) -> F.Column:
     """A sum over rows that no order of them changes; decimals don't overflow."""
-    return F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)"))
 
 
 def publish(spark: SparkSession, staged: str, out: str) -> None:
@@ -163,15 +163,19 @@ def shard_records(meta: DataFrame) -> DataFrame:
 
 
 def record_manifest(meta: DataFrame) -> DataFrame:
-    """One row per (model, row_id, seq_id): the copy written last, and the number of copies.
+    """One row per (model, row_id, seq_id): the copy written last, with all its columns, and the number of copies.
 
-    Among copies of the same time the one with a cache holds, then that of the most bytes.
+    Among copies of the same time the one with a cache holds, then that of the most bytes; then the
+    other columns decide, so the choice doesn't depend on order. Columns n_copies and bin of an earlier
+    rewrite are made anew.
     """
-    rank = F.struct(F.col("written_at"), F.col("has_kv"), F.col("n_bytes"), F.col("audio_frames"), F.col("shard_file"), F.col("sample_key"))
-    return (
-        shard_records(meta).groupBy("model", "row_id", "seq_id").agg(F.max(rank).alias("r"), F.count(F.lit(1)).alias("n_copies"))
-        .select("model", "row_id", "seq_id", "r.shard_file", "r.n_bytes", "r.written_at", "r.audio_frames", "r.has_kv", "n_copies")
-    )
+    key, first = ["model", "row_id", "seq_id"], ["written_at", "has_kv", "n_bytes", "audio_frames", "shard_file", "sample_key"]
+    rest = [c for c in meta.columns if c not in (*key, *first, "n_copies", "bin")]
+    rows = shard_records(meta)
+    rank = F.struct(*[F.col(f"`{c}`") for c in (*first, *rest)])
+    once = rows.groupBy(*key).agg(F.max(rank).alias("__r"), F.count(F.lit(1)).alias("n_copies"))
+    kept = ["shard_file", "n_bytes", "written_at", "audio_frames", "has_kv", "sample_key", *rest]
+    return once.select(*key, *[F.col("__r").getField(c).alias(c) for c in kept], "n_copies")
 
 
 def plan_shards(manifest: DataFrame, target: int) -> DataFrame:
@@ -181,19 +185,19 @@ def plan_shards(manifest: DataFrame, target: int) -> DataFrame:
     records' keys, into as many items as it holds targets.
     """
     part = F.coalesce(F.nullif(F.get(F.split("shard_file", "/"), F.lit(2)), F.lit("")), F.lit("none"))
-    rows = manifest.withColumns({"part": part, "__file": F.coalesce("shard_file", F.lit(""))})
+    rows = manifest.withColumns({"__part": part, "__file": F.coalesce("shard_file", F.lit(""))})
     large = rows.groupBy("__file").agg(F.ceil(F.sum("n_bytes") / target).cast("int").alias("__parts")).where("__parts > 1")
     piece = F.coalesce(F.pmod(F.xxhash64("row_id", "seq_id"), F.col("__parts")), F.lit(0))
     rows = rows.join(large, "__file", "left").withColumn("__item", F.concat_ws("#", "__file", piece)).drop("__parts", "__file")
-    items = rows.groupBy("model", "part", "__item").agg(F.sum("n_bytes").alias("n_bytes"))
-    packed = pack_files(items, ["model", "part"], "__item", "n_bytes", target).select("model", "__item", "bin")
+    items = rows.groupBy("model", "__part", "__item").agg(F.sum("n_bytes").alias("n_bytes"))
+    packed = pack_files(items, ["model", "__part"], "__item", "n_bytes", target).select("model", "__item", "bin")
     m, p = rows.alias("m"), packed.alias("p")
     same = F.col("m.model").eqNullSafe(F.col("p.model")) & (F.col("m.__item") == F.col("p.__item"))
-    return m.join(p, same).select(*[f"m.{c}" for c in manifest.columns], "p.bin")
+    return m.join(p, same).select(*[f"m.`{c}`" for c in manifest.columns], "p.bin")
 
 
 def compact_records(meta: DataFrame, target: int, out: str | None = None) -> DataFrame:
-    """shard_meta rewritten: each record once, in bins of about target n_bytes. Gives the published rows."""
+    """shard_meta rewritten: each record once, with all columns of its last copy, in bins of about target n_bytes. Gives the published rows."""
     spark = meta.sparkSession
     manifest = store(record_manifest(meta), "manifest")
     return write_bins(store(plan_shards(manifest, target), "plan"), out or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")

@@ -56,6 +56,29 @@ def test_each_record_once_latest_copy_in_one_bin(spark, meta, tmp_path):
     assert len(files) == len(sizes)
 
 
+def test_the_new_set_has_all_columns_of_the_last_copy(spark, meta, tmp_path):
+    more = meta.withColumns({
+        "source_dataset_id": F.coalesce("row_id", F.lit(-1)) + 500, "segment_id": F.coalesce("n_bytes", F.lit(0)).cast("int"), "frame_rate": F.lit(12.5), "hidden_dim": F.when(F.col("n_bytes") != 7, 4096),
+        "num_codebooks": F.lit(32), "part": F.lit("p"), "n": F.lit(9), "s": F.lit("s"), "r": F.array(F.lit(1)), "a.b": F.lit("dot"),
+    })
+    out = C.compact_records(more, 1000, f"{tmp_path}/out")
+    assert set(out.columns) == {*more.columns, "n_copies", "bin"}
+    by = {(r["model"], r["row_id"], r["seq_id"]): r.asDict() for r in out.collect()}
+    last = {"sample_key": "retry/00000003-00000", "source_dataset_id": 499, "segment_id": 7, "frame_rate": 12.5, "hidden_dim": None, "num_codebooks": 32, "part": "p", "n": 9, "s": "s", "r": [1], "a.b": "dot", "n_copies": 2}
+    assert {c: by["miso", 3, 0][c] for c in last} == last
+    assert by["miso", 5, 0]["sample_key"] == "00000005_00000" and by["miso", 5, 0]["source_dataset_id"] == 505 and by["miso", 5, 0]["hidden_dim"] == 4096
+    again = C.compact_records(out, 1000, f"{tmp_path}/again")
+    assert sorted(again.columns) == sorted(out.columns) and again.count() == len(by)
+
+
+def test_a_change_of_any_column_is_seen(spark, meta, tmp_path, monkeypatch):
+    rows = C.plan_shards(C.record_manifest(meta.withColumn("frame_rate", F.lit(12.5))), 1000)
+    whole = DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, path: whole(self, path).withColumn("frame_rate", F.lit(21.0)))
+    with pytest.raises(ValueError, match="differs"):
+        C.write_bins(rows, f"{tmp_path}/out")
+
+
 def test_a_file_over_the_target_is_taken_apart(spark, tmp_path):
     rows = [row("shards/miso/train/d/huge.tar", f"{i:08d}_00000", i, 0, "miso", 100, i) for i in range(100)]
     out = C.compact_records(spark.createDataFrame(rows, META), 1000, f"{tmp_path}/out")
