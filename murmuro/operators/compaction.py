@@ -1,12 +1,14 @@
 """Consolidation of very many small files into few well-sized ones.
 
-A frozen manifest lists what is to be moved; first-fit decreasing packs the files into bins; each bin
-is written as one file; row counts and checksums of what was written are held against the manifest;
-only then does one rename publish the new set. A run that fails leaves the old set as it was.
+A frozen manifest lists what is to be moved, with the row count and checksum of every file as its source
+holds it; first-fit decreasing packs the files into bins; each bin is written as one file; row counts and
+checksums of what was written are held against the manifest; only then is the new set published, by a
+marker that only one writer can create, and one rename. A run that fails leaves the old set as it was.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
@@ -16,10 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmuro.session import shared_dir, store
+from murmuro.session import parallelism, shared_dir, store
 
 #: Bins in a block: a block is packed by one task, so its size is bounded whatever the table's is.
 BLOCK_BINS = 128
+#: Bytes of names and bins up to which the list of files is broadcast; a longer one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Tasks that write bins, at most.
+MOST_TASKS = 100_000
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -70,70 +76,161 @@ def pack_files(files: DataFrame, group: Sequence[str], name: str, size: str, tar
     return dealt.groupBy(*group, "__block").applyInPandas(pack, schema)
 
 
-def checksum(columns: Sequence[str]) -> F.Column:
-    """A sum over rows that no order of them changes; decimals don't overflow."""
-    return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)"))
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _holds_map(kind.elementType))
+
+
+def checksum(fields: Sequence[T.StructField]) -> F.Column:
+    """A sum over rows that no order of them changes; decimals don't overflow. A null counts by its place. Maps are taken as JSON."""
+    columns = [(F.col(f"`{f.name}`"), _holds_map(f.dataType)) for f in fields]
+    nulls = F.concat_ws("", *[c.isNull().cast("int") for c, _ in columns]) if columns else F.lit("")
+    return F.sum(F.xxhash64(*[F.to_json(F.struct(c)) if has_map else c for c, has_map in columns], nulls).cast("decimal(38,0)"))
+
+
+def claim(spark: SparkSession, out: str, about: dict) -> object:
+    """Creates the marker out.claim, which one writer of several can; raises FileExistsError for the others."""
+    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(f"{out}.claim")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at.getParent())
+    try:
+        if fs.getScheme() == "file":  # its create looks first and creates then
+            jvm.java.nio.file.Files.createFile(jvm.java.io.File(at.toUri().getPath()).toPath(), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+            stream = fs.create(at, True)
+        else:
+            stream = fs.create(at, False)
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            raise FileExistsError(f"{out}: {at} is another writer's") from None
+        raise
+    stream.write(bytearray(json.dumps(about).encode()))
+    stream.close()
+    return fs
 
 
 def publish(spark: SparkSession, staged: str, out: str) -> None:
-    """Renames staged to out; fails if out exists."""
+    """Makes staged the set at out; fails if there is one or another writer is at it.
+
+    The marker out.claim decides between writers and stays; the file _PUBLISHED in the set is written
+    last, for readers on stores that rename by copying.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     src, dst = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(out)
-    fs = src.getFileSystem(conf)
-    if fs.exists(dst):
-        raise FileExistsError(out)
-    fs.mkdirs(dst.getParent())
-    if not fs.rename(src, dst):
-        raise OSError(f"can't rename {staged} to {out}")
-
-
-def write_bins(rows: DataFrame, out: str) -> DataFrame:
+    fs = claim(spark, out, {"staged": staged})
+    marker = jvm.org.apache.hadoop.fs.Path(f"{out}.claim")
+    try:
+        if fs.exists(dst):
+            raise FileExistsError(out)
+        if not fs.rename(src, dst):
+            raise OSError(f"can't rename {staged} to {out}")
+    except BaseException:
+        fs.delete(marker, False)
+        raise
+    fs.create(jvm.org.apache.hadoop.fs.Path(dst, "_PUBLISHED"), True).close()
+
+
+def write_bins(rows: DataFrame, out: str, wanted: DataFrame | None = None, bins: int | None = None) -> DataFrame:
     """Writes rows, one file per value of column bin, verifies them and publishes them at out.
 
-    Gives the published rows. Raises and publishes nothing if a bin's row count or checksum differs
-    from what was to be written.
+    wanted: bin, n (rows), s (checksum), several rows a bin if need be; made from rows if not given.
+    bins: how many bins there are, about. Gives the published rows. Raises and publishes nothing if a
+    bin's row count or checksum differs from what was to be written.
     """
     spark = rows.sparkSession
-    data = [c for c in rows.columns if c != "bin"]
+    data = [f for f in rows.schema.fields if f.name != "bin"]
     staged = f"{out}.staged-{uuid.uuid4().hex}"
     sums = [F.count(F.lit(1)).alias("n"), checksum(data).alias("s")]
-    rows.repartition("bin").write.partitionBy("bin").parquet(staged)
-    read = spark.read.schema(T.StructType([*[f for f in rows.schema.fields if f.name != "bin"], T.StructField("bin", T.StringType())])).parquet(staged)
-    want, got = rows.groupBy("bin").agg(*sums), read.groupBy("bin").agg(*sums)
-    bad = want.alias("w").join(got.alias("g"), "bin", "full").where(~(F.col("w.n").eqNullSafe(F.col("g.n")) & F.col("w.s").eqNullSafe(F.col("g.s")))).limit(3).collect()
+    rows.repartition(min(MOST_TASKS, max(parallelism(spark), bins or 1)), "bin").write.partitionBy("bin").parquet(staged)
+    read = spark.read.schema(T.StructType([*data, T.StructField("bin", T.StringType())])).parquet(staged)
+    want = rows.groupBy("bin").agg(*sums) if wanted is None else wanted
+    both = want.select("bin", "n", "s").unionByName(read.groupBy("bin").agg(*sums).select("bin", (-F.col("n")).alias("n"), (-F.col("s")).alias("s")))
+    off = both.groupBy("bin").agg(F.sum("n").alias("missing_rows"), F.sum(F.coalesce("s", F.lit(0).cast("decimal(38,0)"))).alias("missing_sum"))
+    bad = off.where("missing_rows <> 0 or missing_sum <> 0").limit(3).collect()
     if bad:
         raise ValueError(f"what was written differs from the manifest: {bad}")
     publish(spark, staged, out)
     return spark.read.schema(read.schema).parquet(out)
 
 
+# ------------------------------------------------------------------ folders
+
+
+def _source(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Every Parquet file below path, in folders of any depth; the listing of folders is Spark's own, by tasks where there are many."""
+    return spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("mergeSchema", True).load(path)
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """The frozen manifest of a folder: file and n_bytes of every Parquet file at the time of the call."""
+    """file (as rows name theirs in _metadata.file_path), n_bytes and folders (their key=value names below path) of every Parquet file below path at the time of the call; no file is opened."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
-    rows = []
-    while found.hasNext():
-        f = found.next()
-        if f.getPath().getName().endswith(".parquet"):
-            rows.append((f.getPath().toUri().getPath(), f.getLen()))
-    return spark.createDataFrame(rows, "file string, n_bytes long")
+    depth = at.toUri().getRawPath().rstrip("/").count("/") + 1
+    files = _source(spark, path, "binaryFile").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("n_bytes"))
+    # the path is a URI, in which key=value names are escaped once more; + isn't a space in either
+    plain = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    folders = F.split(plain(F.regexp_replace("file", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?|/[^/]*$", "")), "/")
+    named = F.filter(F.slice(folders, depth + 1, F.greatest(F.size(folders) - depth, F.lit(0))), lambda p: p.contains("="))
+    value = lambda p: F.nullif(plain(F.regexp_replace(p, "^[^=]*=", "")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return files.withColumn("folders", F.transform(named, lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("key"), value(p).alias("value"))))
+
+
+def _is_key(key: str):
+    return lambda p: p["key"] == key
+
+
+def _with_folders(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """rows with a column per key of the listed files' folders (__folders): a whole number where all values are, else text."""
+    whole = F.coalesce(F.col("f.value").try_cast("long").cast("string") == F.col("f.value"), F.col("f.value").isNull())
+    named = listed.select(F.explode("folders").alias("f")).groupBy("f.key").agg(F.min(whole).alias("whole"))
+    taken = {c.lower() for c in rows.columns}
+    for key, is_whole in sorted(named.collect()):  # a row per key, not per value
+        out = key
+        while out.lower() in taken:
+            out += "_folder"
+        taken.add(out.lower())
+        value = F.get(F.reverse(F.filter("__folders", _is_key(key))), F.lit(0))["value"]
+        rows = rows.withColumn(out, value.cast("long") if is_whole else value)
+    return rows
 
 
 def compact_folder(spark: SparkSession, path: str, out: str, target: int) -> DataFrame:
     """Rewrites the Parquet files below path into files of about target bytes at out.
 
-    Every row of the manifest's files is there exactly once, with the same columns and one more, bin.
-    Files that are added meanwhile aren't in the manifest and stay out.
+    Every row of the manifest's files is there exactly once, with the columns of all files together
+    (null where a file lacks one; Spark raises if types can't be merged), the values of key=value folders
+    as columns (under another name, key_folder, if rows have a column key) and one more column, bin.
+    Files that are added meanwhile aren't in the manifest and stay out; a file that can't be read, has
+    gone or has changed since makes the run raise, and nothing is published. Raises ValueError where
+    there is no file, and where rows already have a column named bin.
     """
-    manifest = store(list_files(spark, path), "manifest")
-    packed = store(pack_files(manifest.withColumn("folder", F.lit("all")), ["folder"], "file", "n_bytes", target).select("file", "bin"), "bins")
-    files = [r["file"] for r in manifest.select("file").toLocalIterator()]
-    if not files:
+    listed = store(list_files(spark, path), "listed")
+    n_files, n_chars, n_bytes = listed.agg(F.count(F.lit(1)), F.sum(F.length("file")), F.sum("n_bytes")).first()
+    if not n_files:
         raise ValueError(f"no Parquet file below {path}")
-    rows = spark.read.parquet(*files)
-    columns = [rows[c] for c in rows.columns]
-    tagged = rows.select(*columns, F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*(?=/)", "").alias("__file"))
-    return write_bins(tagged.join(packed, tagged["__file"] == packed["file"]).drop("__file", "file"), out)
+    listed = F.broadcast(listed) if n_chars * 4 < BROADCAST_BYTES else listed
+    source = _source(spark, path, "parquet")
+    if "bin" in map(str.lower, source.columns):
+        raise ValueError("a column of the rows is named bin")
+    tagged = source.select(*[source[c] for c in source.columns], F.col("_metadata.file_path").alias("__file"))
+    tagged = tagged.join(listed.select(F.col("file").alias("__file"), F.col("folders").alias("__folders")), "__file")
+    rows = _with_folders(tagged, listed).drop("__folders")
+    data = [f for f in rows.schema.fields if f.name != "__file"]
+    sums = rows.groupBy(F.col("__file").alias("file")).agg(F.count(F.lit(1)).alias("n"), checksum(data).alias("s"))
+    manifest = store(listed.join(sums, "file", "left").select("file", "n_bytes", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "s"), "manifest")
+    _all_rows(spark, path, manifest)
+    packed = store(pack_files(manifest.withColumn("folder", F.lit("all")), ["folder"], "file", "n_bytes", target).select("file", "bin", "n", "s"), "bins")
+    bin_of = packed.select(F.col("file").alias("__file"), "bin")
+    placed = rows.join(F.broadcast(bin_of) if n_chars * 4 < BROADCAST_BYTES else bin_of, "__file").drop("__file")
+    return write_bins(placed, out, packed.where("n > 0").select("bin", "n", "s"), 2 * n_bytes // target + 1)
+
+
+def _all_rows(spark: SparkSession, path: str, manifest: DataFrame) -> None:
+    """Raises if a file's rows in the manifest aren't as many as its footer tells, or if rows may have been lost by their file's name."""
+    opened = _source(spark, path, "parquet").select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("k"))
+    both = opened.join(manifest.select("file", "n"), "file", "full")
+    bad, unknown, empty = both.selectExpr("count_if(n is not null and coalesce(k, 0) <> n)", "count_if(n is null)", "count_if(n = 0)").first()
+    if bad or (unknown and empty):
+        raise ValueError(f"{bad} files differ from the manifest, {unknown} aren't in it, {empty} in it have no rows: list them again")
 
 
 # ------------------------------------------------------------------ records of shard_meta

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuro.operators.compaction import compact_records, plan_shards, record_manifest
+from murmuro.operators.compaction import compact_folder, compact_records, plan_shards, record_manifest
 from murmuro.operators.intervals import periods_and_gaps, valid_segments
-from murmuro.session import store, table
+from murmuro.session import shared_dir, store, table
 
 #: Bytes of a consolidated shard file.
 SHARD_BYTES = 256 << 20
@@ -36,6 +38,19 @@ def p6_records(spark: SparkSession, base: str) -> DataFrame:
     return compact_records(table(spark, base, "shard_meta"), SHARD_BYTES).select("model", "row_id", "seq_id", "n_bytes", F.lit(1).alias("n"))
 
 
+#: Folders of small files that p6_files makes, and bytes of a file it makes of them.
+SMALL_FOLDERS, FOLDER_BYTES = 256, 4 << 20
+
+
+def p6_files(spark: SparkSession, base: str) -> DataFrame:
+    """All rows of shard_meta from a folder of small files (in folders whose names hold blanks and %), rewritten into few."""
+    meta = table(spark, base, "shard_meta")
+    folder = F.concat(F.lower(F.trim("model")), F.lit(" 100% /"), F.pmod(F.xxhash64("shard_file", "sample_key"), F.lit(SMALL_FOLDERS)).cast("string"))
+    small, few = (f"{shared_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("small files", "few files"))
+    meta.withColumn("kept in", folder).repartition("kept in").write.partitionBy("kept in").parquet(small)
+    return compact_folder(spark, small, few, FOLDER_BYTES).select("shard_file", "sample_key", "row_id", "seq_id", "model", "n_bytes", "audio_frames", "written_at", F.substring_index("kept in", " ", 1).alias("kept_in"))
+
+
 def _intervals(spark: SparkSession, base: str) -> DataFrame:
     segments = valid_segments(table(spark, base, "segments"))
     return periods_and_gaps(segments, ["source_dataset_id", "source_audio_channel_id"], "start_ms", "end_ms")
@@ -51,7 +66,7 @@ def p7_periods(spark: SparkSession, base: str) -> DataFrame:
     return periods.select("source_dataset_id", "source_audio_channel_id", F.col("from_ms").alias("start_ms"), F.col("to_ms").alias("end_ms"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_shards": p6_shards, "p6_totals": p6_totals, "p6_records": p6_records, "p7_found": p7_found, "p7_periods": p7_periods}
+QUERIES = {"p6_found": p6_found, "p6_shards": p6_shards, "p6_totals": p6_totals, "p6_records": p6_records, "p6_files": p6_files, "p7_found": p7_found, "p7_periods": p7_periods}
 
 _RECORDS = r"""
     SELECT coalesce(nullif(lower(trim(model)), ''), lower(split_part(shard_file, '/', 2))) AS model,
@@ -81,6 +96,7 @@ SQL = {
         SELECT model, count(*) AS n_records, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, true AS within, true AS fewer FROM (
           SELECT * FROM ({_RECORDS}) QUALIFY row_number() OVER (PARTITION BY model, row_id, seq_id
             ORDER BY written_at DESC NULLS LAST, has_kv DESC NULLS LAST, n_bytes DESC NULLS LAST, audio_frames DESC NULLS LAST, shard_file DESC) = 1) GROUP BY model""",
+    "p6_files": "SELECT shard_file, sample_key, row_id, seq_id, model, n_bytes, audio_frames, written_at, lower(trim(model)) AS kept_in FROM shard_meta",
     "p7_found": _ISLANDS + """
         SELECT source_dataset_id, source_audio_channel_id, top AS gap_start_ms, s AS gap_end_ms FROM m WHERE s > top""",
     "p7_periods": _ISLANDS + """

@@ -5,6 +5,7 @@ import glob
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -113,3 +114,108 @@ def test_empty_and_clashing_columns(spark, meta, tmp_path):
     assert C.compact_records(spark.createDataFrame([], META), 1000, f"{tmp_path}/empty").count() == 0
     wide = meta.withColumns({c: F.lit("x") for c in ("bin", "r", "n", "s", "file", "part", "__size", "__block", "n_copies")})
     assert C.compact_records(wide, 1000, f"{tmp_path}/wide").count() == 42
+
+
+def files_of(folder):
+    return {f for f in glob.glob(f"{folder}/**/*.parquet", recursive=True)}
+
+
+def test_names_with_blanks_and_percent_signs_keep_their_rows(spark, tmp_path):
+    for k, name in enumerate(["a", "b c", "d%e", "k=1", "f+g", "h%20i", "j#k", "l=m n%2F"]):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    out = C.compact_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out", 1 << 20)
+    rows = {r["id"]: r for r in out.collect()}
+    assert sorted(rows) == list(range(80)) and out.count() == 80
+    assert rows[31]["k"] == 1 and rows[0]["k"] is None and rows[75]["l"] == "m n/"
+
+
+def test_single_files_with_odd_names(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/in/x y")
+    for k, name in enumerate(["a.parquet", "b c.parquet", "x y/d%e.parquet", "x y/k=1 100%.parquet"]):
+        pd.DataFrame({"id": range(k * 10, k * 10 + 10)}).to_parquet(f"{tmp_path}/in/{name}")
+    out = C.compact_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out", 1 << 20)
+    assert sorted(r["id"] for r in out.collect()) == list(range(40)) and len(files_of(f"{tmp_path}/out")) == 1
+
+
+def test_columns_of_all_files_are_kept(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    spark.range(10, 20).withColumn("extra", F.lit("e")).coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    out = C.compact_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out", 1 << 20)
+    assert set(out.columns) == {"id", "extra", "bin"}
+    assert {r["id"]: r["extra"] for r in out.collect()} == {i: "e" if i >= 10 else None for i in range(20)}
+
+
+def test_types_that_cant_be_merged_raise(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/in/1")
+    spark.range(10).select(F.col("id").cast("string")).write.parquet(f"{tmp_path}/in/2")
+    with pytest.raises(Exception, match="(?i)merge"):
+        C.compact_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out", 1 << 20)
+    assert not os.path.exists(f"{tmp_path}/out")
+
+
+def test_folder_values_null_typed_and_clashing(spark, tmp_path):
+    df = spark.createDataFrame([(1, 10, "a b"), (2, None, "c%d"), (3, 30, None)], "id long, n int, s string")
+    df.write.partitionBy("n", "s").parquet(f"{tmp_path}/in/p=2024")
+    df.select("id", F.lit("own").alias("p")).coalesce(1).write.parquet(f"{tmp_path}/in/p=x")
+    out = C.compact_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out", 1 << 20)
+    got = sorted(((r["id"], r["n"], r["s"], r["p"], r["p_folder"]) for r in out.collect()), key=str)
+    want = [(1, 10, "a b", None, "2024"), (2, None, "c%d", None, "2024"), (3, 30, None, None, "2024"), *[(i, None, None, "own", "x") for i in (1, 2, 3)]]
+    assert got == sorted(want, key=str)
+
+
+def test_a_folder_above_is_no_column(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/day=7/in")
+    assert set(C.compact_folder(spark, f"{tmp_path}/day=7/in", f"{tmp_path}/out", 1 << 20).columns) == {"id", "bin"}
+
+
+def test_empty_files_and_maps_and_repeated_rows(spark, tmp_path):
+    spark.range(0).withColumn("m", F.lit(None).cast("map<string,int>")).write.parquet(f"{tmp_path}/in/1")
+    spark.range(4).withColumn("m", F.create_map(F.lit("a"), F.col("id").cast("int"))).unionAll(spark.range(4).withColumn("m", F.lit(None).cast("map<string,int>"))).write.parquet(f"{tmp_path}/in/2")
+    out = C.compact_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out", 1 << 20)
+    assert out.count() == 8 and out.where("m is null").count() == 4
+    with pytest.raises(ValueError, match="no Parquet"):
+        os.makedirs(f"{tmp_path}/none")
+        C.compact_folder(spark, f"{tmp_path}/none", f"{tmp_path}/out2", 1 << 20)
+
+
+def test_a_manifest_that_lost_a_file_raises(spark, tmp_path, monkeypatch):
+    spark.range(100).repartition(5).write.parquet(f"{tmp_path}/in")
+    one = sorted(files_of(f"{tmp_path}/in"))[0]
+    whole = C.list_files
+    monkeypatch.setattr(C, "list_files", lambda s, p: whole(s, p).withColumn("file", F.when(F.col("file").endswith(os.path.basename(one)), F.concat("file", F.lit("%20"))).otherwise(F.col("file"))))
+    with pytest.raises(ValueError, match="list them again"):
+        C.compact_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out", 1 << 20)
+    assert not os.path.exists(f"{tmp_path}/out")
+
+
+def test_the_long_list_of_files_is_joined(spark, tmp_path, monkeypatch):
+    spark.range(100).withColumn("k", F.col("id") % 7).write.partitionBy("k").parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
+    out = C.compact_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out", 2000)
+    assert sorted((r["id"], r["k"]) for r in out.collect()) == [(i, i % 7) for i in range(100)]
+
+
+def test_checksum_sees_columns_change_places(spark):
+    df = spark.createDataFrame([("a", None), (None, "b")], "x string, y string")
+    sums = [d.agg(C.checksum(d.schema.fields)).first()[0] for d in (df, spark.createDataFrame([(None, "a"), ("b", None)], "x string, y string"))]
+    assert sums[0] != sums[1]
+
+
+def test_of_two_writers_one_publishes(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    for k in range(4):
+        os.makedirs(f"{tmp_path}/staged{k}")
+        (tmp_path / f"staged{k}" / "f").write_text(str(k))
+
+    def one(k):
+        try:
+            C.publish(spark, f"{tmp_path}/staged{k}", f"{tmp_path}/out")
+            return k
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [k for k in pool.map(one, range(4)) if k is not None]
+    assert len(won) == 1 and (tmp_path / "out" / "f").read_text() == str(won[0]) and sorted(os.listdir(tmp_path / "out"))[-2:] == ["_PUBLISHED", "f"]
+    assert sum(os.path.exists(f"{tmp_path}/staged{k}") for k in range(4)) == 3
