@@ -74,6 +74,9 @@ def repetition_penalty(logits: Column, seen: Column, penalty: float) -> Column:
 
 
 def temperature(logits: Column, t: float) -> Column:
+    """Logits over t; for t of 0 or less all but the first highest are minus infinity."""
+    if t <= 0:
+        return let(argmax(logits), lambda best: F.transform(logits, lambda x, i: F.when(i == best, x).otherwise(F.lit(float("-inf")))))
     return F.transform(logits, lambda x: x / t)
 
 
@@ -127,6 +130,21 @@ def race(logits: Column, noise: Column) -> Column:
     return let(F.zip_with(softmax(logits), noise, lambda x, u: x / -F.ln(F.greatest(u, F.lit(1e-300)))), argmax)
 
 
+def sample(logits: Column, noise: Column, t: float, k: int = 0, p: float = 0.0) -> Column:
+    """A frame sampler's draw: the first highest id for t of 0 or less, else a race at temperature t among the k best (all for 0) within the nucleus of p (none unless 0 < p < 1).
+
+    Logits are made log-probabilities only where a nucleus needs them.
+    """
+    if t <= 0:
+        return argmax(logits)
+    kept = logits
+    if 0 < p < 1:
+        kept = let(log_softmax(logits), lambda lg: top_p(lg, p, k or None))
+    elif k:
+        kept = top_k(logits, k)
+    return let(kept, lambda lg: race(temperature(lg, t), noise))
+
+
 def fused_filters(logits: Column, temperature_: float, k: int, p: float, least: float, eos: int) -> Column:
     """Temperature, then top-k, then top-p and min-p on what is left; the end token keeps its logit."""
     scaled = F.transform(logits, lambda x: x / temperature_)
@@ -138,5 +156,5 @@ def fused_filters(logits: Column, temperature_: float, k: int, p: float, least:
 
 def repetition_aware(logits: Column, recent: Column, noise: Column, again: Column, p: float, k: int, low: int, high: int, high_p: float = 0.9) -> Column:
     """A draw from the nucleus; drawn once more, with other noise and a nucleus of high_p, if it is semantic (low to high) and among the recent ones."""
-    first = race(top_p(logits, p, k), noise)
-    return let(first, lambda t: F.when(t.between(low, high) & F.array_contains(recent, t), race(top_p(logits, high_p, k), again)).otherwise(t))
+    first, second = race(top_p(logits, p, k), noise), race(top_p(logits, high_p, k), again)
+    return F.when(first.between(low, high) & F.array_contains(recent, first), second).otherwise(first)
