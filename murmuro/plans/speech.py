@@ -64,12 +64,8 @@ def segment_frames_range_join(spark: SparkSession, base: str) -> DataFrame:
 
 
 def segment_frames_all(spark: SparkSession, base: str) -> DataFrame:
-    """The frames of each segment, from the same join: how many, and the first and last."""
-    by = ["source_dataset_id", "source_audio_channel_id"]
-    b = store(_bounds(spark, base), "bounds")
-    last = b.groupBy(*by).agg(F.max("frame_end").alias("n"))
-    frames = last.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("frame"))
-    return G.frames_of_segments(b, frames, by, "frame").groupBy(*by, "segment_id").agg(F.count(F.lit(1)).alias("n_frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    """The same as segment_frames_range_join, by its earlier name."""
+    return segment_frames_range_join(spark, base)
 
 
 def channel_frames(spark: SparkSession, base: str) -> DataFrame:
@@ -247,7 +243,8 @@ SQL = {
     "segment_frames_range_join": f"""WITH {_B}, l AS (SELECT source_dataset_id, source_audio_channel_id, max(fe) AS n FROM b GROUP BY ALL),
         f AS (SELECT source_dataset_id, source_audio_channel_id, unnest(range(n)) AS frame FROM l)
         SELECT f.source_dataset_id, f.source_audio_channel_id, frame, count(*) AS n_segments FROM f JOIN b ON b.source_dataset_id = f.source_dataset_id AND b.source_audio_channel_id = f.source_audio_channel_id AND frame >= fs AND frame < fe GROUP BY ALL""",
-    "segment_frames_all": f"""WITH {_B} SELECT source_dataset_id, source_audio_channel_id, segment_id, sum(fe - fs)::BIGINT AS n_frames, min(fs) AS first_frame, max(fe) - 1 AS last_frame FROM b WHERE fe > fs GROUP BY ALL""",
+    "segment_frames_all": f"""WITH {_B}, f AS (SELECT source_dataset_id, source_audio_channel_id, unnest(range(fs, fe)) AS frame FROM b)
+        SELECT source_dataset_id, source_audio_channel_id, frame, count(*) AS n_segments FROM f GROUP BY ALL""",
     "channel_frames": f"""WITH {_B}, x AS (SELECT *, unnest(range(fs // 256, (fe - 1) // 256 + 1)) AS bin FROM b)
         SELECT source_dataset_id, source_audio_channel_id, bin, count(*) AS n_segments, CAST(sum(least(fe, (bin + 1) * 256) - greatest(fs, bin * 256)) AS BIGINT) AS n_frames FROM x GROUP BY ALL""",
     "speaker_first_appearance": f"""WITH {_V} SELECT source_dataset_id, speaker, CAST(row_number() OVER (PARTITION BY source_dataset_id ORDER BY min(segment_id), encode(speaker)) - 1 AS INT) AS speaker_no

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import pathlib
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,3 +29,21 @@ def test_no_machine_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         S.shared_dir(type("Session", (), {"sparkContext": Context}))
+
+
+@pytest.mark.parametrize("gone", ["ahocorasick", "murmuro.llm", "murmuro.llm.catalog"])
+def test_core_queries_load_without_what_the_others_need(gone):
+    code = f"""
+import sys, warnings
+class Blocked:
+    def find_spec(self, name, path=None, target=None):
+        if name == {gone!r}:
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Blocked())
+warnings.simplefilter("ignore")
+import __spark_entry__ as e
+names = e.queries()
+assert len(names) > 80 and not any(n.startswith(("p1_", "p2_", "p9_")) for n in names), len(names)
+assert set(e.oracle_sql()) <= set(names)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=pathlib.Path(__file__).parents[1], timeout=120)
