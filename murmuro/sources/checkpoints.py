@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmuro.sources import files
+
 # Suffixes of a decoder layer's tensors and what they are called elsewhere.
 LAYER_NAMES = {
     "attn.q_proj.weight": "self_attn.q_proj.weight",
@@ -42,7 +44,7 @@ def key_names(spark: SparkSession, layers: int = 8) -> DataFrame:
 
 def header(path: str) -> tuple[dict, int]:
     """The description of a safetensors file, and where its data begin."""
-    with open(path, "rb") as f:
+    with files.opened(path) as f:
         (n,) = struct.unpack("<Q", f.read(8))
         return {k: v for k, v in json.loads(f.read(n)).items() if k != "__metadata__"}, 8 + n
 
@@ -63,7 +65,7 @@ def read_tensors(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, at = header(path)
-        with open(path, "rb") as f:
+        with files.opened(path) as f:
             for pdf in batches:
                 for key in pdf["source"]:
                     lo, hi = found[key]["data_offsets"]
@@ -82,9 +84,13 @@ def renamed(df: DataFrame, names: DataFrame, key: str = "key") -> DataFrame:
 
 
 def permuted(df: DataFrame, is_rope: Column, head_dim: Column, row: str = "row") -> DataFrame:
-    """Rows of query and key projections from interleaved rotary pairs to split halves."""
+    """Rows of query and key projections from interleaved rotary pairs to split halves. Raises on a row at or beyond n_rows, where that column is there, or where n_rows isn't a multiple of head_dim."""
     from murmuro.functions.scalars import rope_row
 
+    if "n_rows" in df.columns:
+        wrong = is_rope & ((F.col(row) >= F.col("n_rows")) | (F.pmod(F.col("n_rows"), head_dim) != 0) | (F.pmod(head_dim, F.lit(2)) != 0))
+        df = df.withColumn(row, F.when(wrong, F.raise_error(F.lit("rows of a projection aren't whole heads")).cast("long")).otherwise(F.col(row)))
+
     return df.withColumn(row, F.when(is_rope, rope_row(F.col(row), head_dim)).otherwise(F.col(row)))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmuro.sources import files
+
 SEGMENT = "array<struct<segment_id: int, start: double, end: double, channel: int, speaker: string, text: string>>"
 TRANSCRIPT = f"dataset string, split string, row bigint, sample_rate int, num_channels int, duration_sec double, segments {SEGMENT}"
 
@@ -55,8 +58,7 @@ def read_script(spark: SparkSession, path: str) -> DataFrame:
     """turn, speaker (0 or 1, 0 if none), text of a script in YAML. Raises on other speakers and on empty texts."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        items = yaml.safe_load(f)["segments"]
+    items = yaml.safe_load(files.read(path).decode())["segments"]
     rows = [(i, int(x.get("speaker", 0)), str(x["text"]).strip()) for i, x in enumerate(items)]
     if not rows or any(s not in (0, 1) or not t for _, s, t in rows):
         raise ValueError("a script needs turns with text by speaker 0 or 1")
@@ -78,6 +80,48 @@ def expected_frames(info: str, split: str) -> F.Column:
     return F.try_to_number(F.get_json_object(F.col(info), f"$.total_{split}_frames"), F.lit("9999999999999")).cast("long")
 
 
+def write_codebooks(codes: DataFrame, path: str) -> None:
+    """Writes codec frames (row, channel, codes ARRAY<ARRAY<INT>>, sample_rate, frame_rate) with num_codebooks, read off each row's frames. Raises, in the task, where frames of a row differ in width."""
+    width = F.size(F.get("codes", F.lit(0)))
+    uneven = F.exists("codes", lambda c: F.size(c) != width)
+    checked = F.when(uneven, F.raise_error(F.lit("frames of a channel differ in their number of codes")).cast("int")).otherwise(width)
+    codes.withColumn("num_codebooks", checked).write.mode("overwrite").parquet(path)
+
+
+def write_metrics(metrics: DataFrame, summary: DataFrame, path: str) -> None:
+    """Writes per-frame metrics as Parquet by model (path/frames) and their summary, a few rows a model and row, as JSON (path/summary)."""
+    metrics.write.mode("overwrite").partitionBy("model").parquet(f"{path}/frames")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+
+
+def read_metrics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The frames and the summary that write_metrics wrote."""
+    return spark.read.parquet(f"{path}/frames"), spark.read.json(f"{path}/summary")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Writes a report of one row, such as an evaluation's, as one JSON file. Raises unless it is one row."""
+    rows = df.limit(2).toJSON().collect()
+    if len(rows) != 1:
+        raise ValueError("a report is one row")
+    with files.written(path) as f:
+        f.write((json.dumps(json.loads(rows[0]), indent=2) + "\n").encode())
+
+
+def write_features(df: DataFrame, path: str, layout: Sequence[str], cache: str = "kv_cache") -> bool:
+    """Writes featurized sequences, and their caches (keys, kv_cache) beside them where any sequence has one; gives whether. See write_sequences for what raises."""
+    keys = [c for c in ("dataset", "model", "row_id", "seq_id") if c in df.columns]
+    has = cache in df.columns and bool(df.where(F.col(cache).isNotNull()).limit(1).count())
+    write_sequences(df.drop(cache), f"{path}/features", layout)
+    caches = f"{path}/caches"
+    if has:
+        df.where(F.col(cache).isNotNull()).select(*keys, cache).write.mode("overwrite").parquet(caches)
+    else:  # an earlier run's would be taken for this one's
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(caches)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    return has
+
+
 def write_failures(df: DataFrame, path: str) -> None:
     """Appends quarantined rows as lines of JSON."""
     df.write.mode("append").json(path)
@@ -118,8 +162,7 @@ def read_warmup(spark: SparkSession, manifest: str, clips: DataFrame) -> DataFra
     """Clips of a manifest in YAML (speaker, audio, text) joined with read_wav's rows by file name: turn, speaker, text, sample_rate, samples. Raises if a clip is missing."""
     import yaml
 
-    with open(manifest, encoding="utf-8") as f:
-        items = yaml.safe_load(f)["segments"]
+    items = yaml.safe_load(files.read(manifest).decode())["segments"]
     listed = spark.createDataFrame([(i, int(x["speaker"]), str(x["text"]), str(x["audio"]).rsplit("/", 1)[-1]) for i, x in enumerate(items)], "turn int, speaker int, text string, file string")
     named = clips.where("channel = 0").withColumn("file", F.substring_index("path", "/", -1)).select("file", "sample_rate", "samples")
     gone = listed.join(named, "file", "left_anti").select("file").collect()
