@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,13 +58,16 @@ def shuffled(df: DataFrame, key: Column, seed: int, out: str, digits: int = 3) -
     return numbered(mixed, [], F.substring("__md5", 1, digits), ["__md5", "__key"], out).drop("__key", "__md5")
 
 
+#: Rows of a group in a bucket where rows are numbered.
+POSITIONS = 65_536
+
+
 def islands(df: DataFrame, by: Sequence[str], bucket: Column | None, order: Sequence[str], flag: Column) -> DataFrame:
-    """Runs of flagged rows: by, span_start, span_end (half-open row numbers within the group). A null flag is false."""
+    """Runs of flagged rows: by, span_start, span_end (half-open row numbers within the group). A null flag is false. bucket: as of running_sum."""
     by = list(by)
     raised = F.coalesce(flag, F.lit(False))
-    rows = df.withColumns({"__b": bucket, "__flag": raised.cast("int")})
-    at = numbered(rows, by, F.col("__b"), order, "__pos")
-    run = running_sum(at, by, F.col("__b"), order, 1 - F.col("__flag"), "__run")
+    at = numbered(df.withColumn("__flag", raised.cast("int")), by, bucket, order, "__pos")
+    run = running_sum(at, by, F.floor(F.col("__pos") / POSITIONS), ["__pos"], 1 - F.col("__flag"), "__run")
     return run.where("__flag = 1").groupBy(*by, "__run").agg(F.min("__pos").alias("span_start"), (F.max("__pos") + 1).alias("span_end")).drop("__run")
 
 
@@ -110,28 +113,26 @@ def greedy_pack(df: DataFrame, by: Sequence[str], order: Sequence[str], length:
     """Packs consecutive rows of a group up to a limit (inclusive): adds chunk_no (from 0) and oversized.
 
     A row over the limit is marked oversized and is a chunk of its own. Rows with a null length are left
-    out. Rows are sorted over the whole cluster. A partition doesn't know how full the chunk is that
-    reaches into it, so it works out, for each place where that chunk may end, how full the last one is
-    and how many there are; at most limit + 1 places, since lengths are 1 or more. The driver follows
-    these tables from partition to partition, and a second scan numbers the chunks.
+    out. Rows are sorted over the whole cluster, and each partition is looked at in blocks of PACK_ROWS. A
+    block doesn't know how full the chunk is that reaches into it, so it works out, for each place
+    where that chunk may end, how full the last one is and how many there are (at most the rows whose
+    lengths together keep to the limit); blocks of a partition are joined to one such table while it is
+    read. The driver follows the tables, at most one of the limit's length a partition, from partition
+    to partition, and a second scan numbers the chunks.
     """
     by, order = list(by), list(order)
     key = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by]) if by else F.lit("")
     rows = df.where(F.col(length).isNotNull()).withColumns({"__key": key, "__len": F.greatest(F.col(length).cast("long"), F.lit(1))})
     ordered = cut(rows.repartitionByRange("__key", *order).sortWithinPartitions("__key", *order).withColumn("__part", F.spark_partition_id()))
-    found = sorted(ordered.select("__part", "__key", "__len").mapInPandas(_pack_tables(limit), "part int, first_key string, last_key string, lead array<long>, fill array<long>, chunks array<long>").collect(), key=lambda r: r["part"])
+    found = sorted(ordered.select("__part", "__key", "__len").mapInArrow(_pack_tables(limit, PACK_ROWS), "part int, first_key string, last_key string, lead array<long>, fill array<long>, chunks array<long>").collect(), key=lambda r: r["part"])
     carried, at, fill, chunk = {}, None, 0, -1
     for r in found:
         if r["first_key"] != at:
             fill, chunk = 0, -1
         carried[r["part"]] = (fill, chunk)
         if r["first_key"] == r["last_key"]:
-            taken = int(np.searchsorted(np.array(r["lead"], np.int64), limit - fill, "right")) if fill else 0
-            if r["chunks"][taken]:
-                fill = r["fill"][taken]
-            else:
-                fill += r["fill"][taken]
-            chunk += r["chunks"][taken]
+            fill, more = Packing(limit, r["lead"], r["fill"], r["chunks"]).after(fill)
+            chunk += more
         else:
             fill, chunk = r["fill"][0], r["chunks"][0] - 1
         at = r["last_key"]
@@ -139,43 +140,102 @@ def greedy_pack(df: DataFrame, by: Sequence[str], order: Sequence[str], length:
     return ordered.mapInArrow(_pack_rows(carried, limit, len(df.columns), to_arrow_schema(schema)), schema)
 
 
-def _walk(lengths: list[int], fill: int, chunk: int, limit: int) -> Iterator[tuple[int, int]]:
-    """(chunk, fill) after each row, from a chunk that is fill full; fill 0: the next row begins a chunk."""
-    for n in lengths:
-        if fill and fill + n <= limit:
-            fill += n
-        else:
-            chunk, fill = chunk + 1, n
-        yield chunk, fill
-
-
-def _pack_tables(limit: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, lengths = [], []
-        for pdf in batches:
-            keys.append(pdf["__key"].to_numpy(object))
-            lengths.append(pdf["__len"].to_numpy(np.int64))
-            part = int(pdf["__part"].iloc[0]) if len(pdf) else None
-        if not sum(map(len, keys)):
-            return
-        key, size = np.concatenate(keys), np.concatenate(lengths)
-        last = len(key) - int(np.argmax(key[::-1] != key[-1])) if (key != key[-1]).any() else 0
-        if last:
-            fill, chunk = 0, -1
-            for chunk, fill in _walk(size[last:].tolist(), 0, -1, limit):
-                pass
-            yield pd.DataFrame([{"part": part, "first_key": key[0], "last_key": key[-1], "lead": [], "fill": [fill], "chunks": [chunk + 1]}])
-            return
+#: Rows of a partition that greedy_pack works out at once.
+PACK_ROWS = 65_536
+
+
+class Packing:
+    """What consecutive rows make of a chunk that reaches into them.
+
+    lead: the rows' lengths summed up, as far as the limit. fill and chunks have one entry more than lead:
+    with k of the rows in the chunk that reaches in, how full the last chunk is and how many were begun.
+    Where none was begun, fill is what the rows added.
+    """
+
+    def __init__(self, limit: int, lead: Sequence[int], fill: Sequence[int], chunks: Sequence[int]) -> None:
+        self.limit, self.lead, self.fill, self.chunks = limit, np.asarray(lead, np.int64), np.asarray(fill, np.int64), np.asarray(chunks, np.int64)
+
+    @classmethod
+    def of(cls, size: np.ndarray, limit: int) -> Packing:
         total = np.concatenate(([0], np.cumsum(size)))
         n = len(size)
         lead = total[1 : 1 + int(np.searchsorted(total[1:], limit, "right"))]
-        after = np.maximum(np.searchsorted(total, total[:-1] + limit, "right") - 1, np.arange(1, n + 1))
-        fill, chunks = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        after = np.maximum(np.searchsorted(total, total[:-1] + limit, "right") - 1, np.arange(1, n + 1)).tolist()
+        fill, chunks = [0] * n + [int(total[n])], [0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            j = int(after[i])
-            fill[i], chunks[i] = (fill[j], chunks[j] + 1) if j < n else (total[n] - total[i], 1)
-        starts = range(len(lead) + 1)
-        yield pd.DataFrame([{"part": part, "first_key": key[0], "last_key": key[-1], "lead": lead.tolist(), "fill": [int(fill[i]) if i < n else int(total[n]) for i in starts], "chunks": [int(chunks[i]) for i in starts]}])
+            j = after[i]
+            fill[i], chunks[i] = (fill[j], chunks[j] + 1) if j < n else (int(total[n] - total[i]), 1)
+        k = len(lead) + 1
+        return cls(limit, lead, fill[:k], chunks[:k])
+
+    def after(self, fill: int) -> tuple[int, int]:
+        """How full the last chunk is and how many were begun, after a chunk that is fill full (0: none) reached in."""
+        at = int(np.searchsorted(self.lead, self.limit - fill, "right")) if fill else 0
+        begun = int(self.chunks[at])
+        return int(self.fill[at]) + (0 if begun or not fill else fill), begun
+
+    def then(self, other: Packing) -> Packing:
+        """Both, one after the other."""
+        whole = len(self.lead) and len(self.chunks) > len(self.lead) and self.chunks[-1] == 0  # all rows may be in the chunk
+        fill, chunks = [], []
+        for f, c in zip(self.fill.tolist(), self.chunks.tolist()):
+            if c:
+                g, d = other.after(f)
+                fill.append(g)
+                chunks.append(c + d)
+        if not whole:
+            return Packing(self.limit, self.lead, fill, chunks)
+        base = int(self.lead[-1])
+        more = other.lead[other.lead <= self.limit - base] + base
+        k = len(more) + 1
+        fill += [f + (0 if c else base) for f, c in zip(other.fill[:k].tolist(), other.chunks[:k].tolist())]
+        return Packing(self.limit, np.concatenate((self.lead, more)), fill, chunks + other.chunks[:k].tolist())
+
+
+def _pack_tables(limit: int, at_once: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = first = key = None
+        known: Packing | None = None  # of the rows of key so far, where all rows are key's
+        fill, chunk, alone = 0, -1, True
+        waiting: list[np.ndarray] = []
+
+        def settle() -> None:
+            nonlocal known, waiting
+            if waiting:
+                block = Packing.of(np.concatenate(waiting), limit)
+                known, waiting = block if known is None else known.then(block), []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, sizes = batch.column("__key"), batch.column("__len").to_numpy()
+            runs = pa.compute.run_end_encode(keys)
+            lo = 0
+            for name, hi in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if first is None:
+                    part, first, key = batch.column("__part")[0].as_py(), name, name
+                if name != key:
+                    key, alone, waiting, known, fill, chunk = name, False, [], None, 0, -1
+                for at in range(lo, hi, at_once):
+                    block = sizes[at : min(hi, at + at_once)]
+                    if alone:
+                        waiting.append(block)
+                        if sum(map(len, waiting)) >= at_once:
+                            settle()
+                    else:
+                        for n in block.tolist():
+                            if fill and fill + n <= limit:
+                                fill += n
+                            else:
+                                chunk, fill = chunk + 1, n
+                lo = hi
+        if first is None:
+            return
+        settle()
+        lead, fills, chunks = (known.lead.tolist(), known.fill.tolist(), known.chunks.tolist()) if alone else ([], [fill], [chunk + 1])
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        row = (part, first, key, lead, fills, chunks)
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["part", "first_key", "last_key", "lead", "fill", "chunks"])
 
     return run
 

@@ -53,7 +53,7 @@ def bench_metrics_json(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, base: str) -> DataFrame:
-    return numbered(table(spark, base, "events"), ["user_id"], F.floor(F.col("event_id") / (1 << 20)), ["ts", "event_id"], "pos")
+    return numbered(table(spark, base, "events"), ["user_id"], None, ["ts", "event_id"], "pos")
 
 
 def stop_take_while(spark: SparkSession, base: str) -> DataFrame:

@@ -15,8 +15,8 @@ from murmuro.operators.ordered import greedy_pack, islands, numbered, trimmed_co
 from murmuro.session import store, table
 from murmuro.sources.tables import missing, selected
 
-#: Segments in a bucket in which order is kept.
-SPAN_SEQUENCES = 65_536
+#: Segment numbers in a bucket in which order is kept; the longest recordings are many.
+SPAN_SEQUENCES = 64
 
 
 def _valid(spark: SparkSession, base: str, *columns: str) -> DataFrame:
@@ -184,13 +184,13 @@ def packed_sequences(spark: SparkSession, base: str) -> DataFrame:
 def contiguous_spans(spark: SparkSession, base: str) -> DataFrame:
     """Runs of errors of each user, in order of time."""
     events = table(spark, base, "events")
-    return islands(events, ["user_id"], F.floor(F.col("event_id") / (1 << 20)), ["ts", "event_id"], F.col("event_type") == "error")
+    return islands(events, ["user_id"], None, ["ts", "event_id"], F.col("event_type") == "error")
 
 
 def ras_repeat_flag(spark: SparkSession, base: str) -> DataFrame:
     """Whether an event's value k was among the user's last ten."""
     events = table(spark, base, "events").select("user_id", "event_id", "ts", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    at = numbered(events, ["user_id"], F.floor(F.col("event_id") / (1 << 20)), ["ts", "event_id"], "pos")
+    at = numbered(events, ["user_id"], None, ["ts", "event_id"], "pos")
     return with_recent(at, ["user_id"], "pos", "k", 10, "recent").select("event_id", F.array_contains("recent", F.col("k")).alias("repeated"))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,41 @@ def test_trimmed_context_against_a_loop(spark, budget):
                 kept, total = kept + 1, total + m
             assert got[key, i] == (kept, total), (key, i)
             past.append(max(n or 0, 0))
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 1000])
+def test_blocks_of_a_packing_join_to_one(limit):
+    rng = np.random.default_rng(limit)
+    for _ in range(60):
+        sizes = rng.integers(1, rng.choice([3, limit + 3, 60]), rng.integers(1, 40))
+        cuts = [0, *sorted(rng.integers(1, len(sizes) + 1, 3).tolist()), len(sizes)]
+        blocks = [O.Packing.of(sizes[a:b], limit) for a, b in zip(cuts, cuts[1:]) if b > a]
+        joined = blocks[0]
+        for b in blocks[1:]:
+            joined = joined.then(b)
+        assert len(joined.lead) <= limit
+        for fill in [0, *range(1, limit + 1, max(1, limit // 9)), limit + 5]:
+            now, begun = fill, 0
+            for n in sizes.tolist():
+                if now and now + n <= limit:
+                    now += n
+                else:
+                    begun, now = begun + 1, n
+            assert joined.after(fill) == (now, begun)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 50])
+def test_packing_in_small_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(O, "PACK_ROWS", rows)
+    rng = random.Random(rows)
+    data = [(rng.choice(["h", "h", "h", None, "x"]), i, rng.choice([1, 2, 5, 9, 30])) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, i int, n int").repartition(5)
+    got = {(r["k"], r["i"]): (r["chunk_no"], r["oversized"]) for r in O.greedy_pack(df, ["k"], ["i"], "n", 20).collect()}
+    for key in ("h", "x", None):
+        fill, chunk = 0, -1
+        for _, i, n in (d for d in data if d[0] == key):
+            if fill and fill + n <= 20:
+                fill += n
+            else:
+                chunk, fill = chunk + 1, n
+            assert got[key, i] == (chunk, n > 20)
