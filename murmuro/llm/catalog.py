@@ -65,11 +65,16 @@ def p1_error_bound(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    return turns.turns(table(spark, base, "segments")).select("source_dataset_id", "first_segment_id", "last_segment_id")
+    return turns.turn_rows(table(spark, base, "segments")).select("source_dataset_id", "first_segment_id", "last_segment_id")
 
 
 def p2_turns(spark: SparkSession, base: str) -> DataFrame:
-    return turns.turns(table(spark, base, "segments"))
+    return turns.turn_parts(table(spark, base, "segments"))
+
+
+def p2_masked(spark: SparkSession, base: str) -> DataFrame:
+    """How many of the labels that the model doesn't see it finds."""
+    return turns.masked(table(spark, base, "segments"))
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -175,7 +180,7 @@ def p10_canonical(spark: SparkSession, base: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") == F.col("text")).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p2_found, p2_turns, p3_found, p3_splits, p3_records, p3_shares, p4_windows, p4_span_windows, p4_fill, p5_found, p5_pieces, p5_cover, p5_recording_pieces, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p2_found, p2_turns, p2_masked, p3_found, p3_splits, p3_records, p3_shares, p4_windows, p4_span_windows, p4_fill, p5_found, p5_pieces, p5_cover, p5_recording_pieces, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_canonical)}
 
 def _same_look_sql(text: str) -> str:
     """The consistent form of a text in SQL, for the characters of the test tables: full and half width, look-alikes, ligatures, blanks."""

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from murmuro.llm import turns as U
@@ -112,23 +114,176 @@ def test_no_labels_at_all_empty_and_clashing(spark):
     assert U.turns(wide).count() == 1
 
 
-def test_the_border_of_an_open_stretch_is_that_of_the_best_segmentation():
-    rng = random.Random(9)
-    for _ in range(200):
-        n = rng.randrange(1, 7)
-        odds = [rng.uniform(-3, 3) for _ in range(n + 1)]  # of a change before each open segment and before the next labelled one
-        stay = [-math.log1p(math.exp(b)) for b in odds]
+def model(rng, right=math.log(0.9), wrong=math.log(0.05)):
+    """Any probabilities of going on and ending."""
+    p = [[rng.uniform(0.05, 0.95) for _ in range(U.LONGEST)] for _ in range(U.CELLS)]
+    return U.Model([[math.log(1 - x) for x in row] for row in p], [[math.log(x) for x in row] for row in p], right, wrong)
 
-        def score(speakers):
-            row = ["L", *speakers, "R"]
-            return sum(stay[i] + (odds[i] if row[i] != row[i + 1] else 0.0) for i in range(n + 1))
 
-        one_change = [["L"] * k + ["R"] * (n - k) for k in range(n + 1)]
-        best = max(one_change, key=score)
-        assert U.best_border([(b, i) for i, b in enumerate(odds)]) == best.count("L")
+def score(speakers, items, who, m):
+    """The score of an assignment of speakers with turn lengths, by its definition."""
+    total, k = 0.0, 0
+    for i, (y, at) in enumerate(zip(speakers, items)):
+        if y not in who[i]:
+            return -math.inf
+        if i:
+            on = y == speakers[i - 1]
+            total += (m.stay if on else m.change)[at.cell][min(k, U.LONGEST) - 1]
+            k = k + 1 if on else 1
+        else:
+            k = 1
+        total += sum(m.right if y == l else m.wrong for l in at.labels)
+    return total
+
+
+def sequence(rng, n, labels="abc"):
+    items = [U.Item(1, i, i * 10, i * 10 + 5, tuple(rng.sample(labels, rng.choice([0, 0, 1, 1, 2]))), frozenset(), -1 if i == 0 else rng.randrange(U.CELLS)) for i in range(n)]
+    who = [w for _, w in U.with_candidates(iter(items), U.Context(None, (), None, None, False))]
+    return items, who
+
+
+@pytest.mark.parametrize("longest", [2, 8])
+def test_the_program_finds_the_best_of_all_segmentations(monkeypatch, longest):
+    monkeypatch.setattr(U, "LONGEST", longest)
+    monkeypatch.setattr(U, "_NONE", [-math.inf] * longest)
+    monkeypatch.setattr(U, "SETTLE", 3)
+    rng = random.Random(longest)
+    for _ in range(150):
+        m = model(rng)
+        items, who = sequence(rng, rng.randrange(1, 8))
+        path, got = U.Path(m, None), []
+        for at, w in zip(items, who):
+            path.add(at, w)
+            if len(path.items) >= 3:
+                got += path.settled()
+        got += path.rest(None)
+        assert [a.segment for a, _ in got] == list(range(len(items)))
+        speakers = [y for _, (y, _) in got]
+        best = max(score(c, items, who, m) for c in itertools.product(*who))
+        assert score(speakers, items, who, m) == pytest.approx(best)
+        places = [k for _, (_, k) in got]
+        assert all((k == 0) == (i == 0 or speakers[i] != speakers[i - 1]) for i, k in enumerate(places))
+
+
+def test_a_label_can_be_outvoted_but_not_by_little():
+    rng = random.Random(0)
+    calm = model(rng)
+    calm = U.Model([[math.log(0.99)] * U.LONGEST] * U.CELLS, [[math.log(0.01)] * U.LONGEST] * U.CELLS, math.log(0.9), math.log(0.05))
+    sure = U.Model(calm.stay, calm.change, *U.label_scores(5000, 0))
+    items = [U.Item(1, i, i, i + 1, ("b" if i == 2 else "a",), frozenset(), 0 if i else -1) for i in range(5)]
+    for m, want in ((calm, "aaaaa"), (sure, "aabaa")):
+        path = U.Path(m, None)
+        for at, w in U.with_candidates(iter(items), U.Context(None, (), None, None, False)):
+            path.add(at, w)
+        assert "".join(y for _, (y, _) in path.rest(None)) == want
+    noisy = U.label_scores(500_000, 500_000)
+    assert noisy[0] - noisy[1] < 2 < U.label_scores(0, 0)[0] - U.label_scores(0, 0)[1]
+
+
+def test_beginnings_that_come_to_the_same_are_kept_as_one():
+    rng = random.Random(3)
+    m = model(rng)
+    items, who = sequence(rng, 200, "ab")
+    enter = ("a", "b")
+    starts = [{y: [0.0 if (y, k) == s else -math.inf for k in range(U.LONGEST)] for y in enter} for s in U.states(enter)]
+    plain, merged = U.Beginnings([dict(v) for v in starts]), U.Beginnings(starts)
+    for i, (at, w) in enumerate(zip(items, who)):
+        for b in (plain, merged):
+            b.step(w, at.labels, max(at.cell, 0), m)
+        if i % 10 == 9:
+            merged.merge()
+    assert len(merged.starts) < len(plain.starts)
+    assert np.allclose(merged.scores(who[-1]), plain.scores(who[-1]))
+
+
+def test_the_fit_finds_the_odds_it_was_made_from():
+    rng = np.random.default_rng(5)
+    grid = np.indices((*U.SIZES, U.LONGEST)).reshape(5, -1)
+    odds = -1 + 0.3 * grid[0] - 0.4 * grid[1] + 0.2 * grid[2] - 0.3 * grid[3] + 0.1 * grid[4]
+    n = np.full(odds.shape, 400)
+    changed = rng.binomial(n, 1 / (1 + np.exp(-odds)))
+    shape = (U.CELLS, U.LONGEST)
+    stay, change = U.border_scores((n - changed).reshape(shape), changed.reshape(shape))
+    assert np.abs((np.array(change) - np.array(stay)).ravel() - odds).max() < 0.1
+    assert np.allclose(np.exp(stay) + np.exp(change), 1)
+    none = U.border_scores(np.zeros(shape, int), np.zeros(shape, int))
+    assert np.allclose(none[0], math.log(0.5)) and np.allclose(none[1], math.log(0.5))
+
+
+def test_cells_tell_features_apart():
+    some, other = frozenset([1, 2]), frozenset([3, 4])
+    cells = [U.cell_of(p, some, w, n, d) for p in (-500, -100, 50, 200, 300, 700, 1500, 5000) for w in (some, other) for n in (1, 5, 20) for d in (500, 2000, 9000)]
+    assert len(set(cells)) == len(cells) and 0 <= min(cells) and max(cells) < U.CELLS
+
+
+def plainly(rows, m):
+    """Turns of one list of segments per recording, without partitions."""
+    out = []
+    items = [U.Item(rec, seg, start, end, labels, words) for rec, seg, start, end, labels, words in rows]
+    for rec in sorted({i.recording for i in items}):
+        own = sorted((i for i in items if i.recording == rec), key=lambda i: (i.start, i.end, i.segment))
+        for a, b in zip(own, own[1:]):
+            b.cell = U.cell_of(b.start - a.end, a.words, b.words, len(b.words), a.end - a.start)
+        path = U.Path(m, None)
+        for at, w in U.with_candidates(iter(own), U.Context(None, (), None, None, False)):
+            path.add(at, w)
+        for at, (_, k) in path.rest(None):
+            if k == 0:
+                out.append([rec, at.segment, at.segment])
+            else:
+                out[-1][2] = at.segment
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_partitions_make_no_difference(spark, seed):
+    rng = random.Random(seed)
+    rows, t = [], 0.0
+    for i in range(700):
+        rec = 1 if rng.random() < 0.8 else rng.randrange(2, 5)
+        t += rng.choice([0.05, 0.3, 1.2, 3.0])
+        who = rng.choice(["ex1", "ex1", "ex2", None, None, None if i < 300 else "ex3"])
+        text = " ".join(rng.choice("one two three four five six seven eight".split()) for _ in range(rng.randrange(1, 12)))
+        if who and rng.random() < 0.2:
+            text = f"{rng.choice(['ex1', 'ex2'])}: {text}"
+        rows.append((rec, 0, i, text, who, t, t + rng.choice([0.5, 2.0, 6.0]), ""))
+    df = spark.createDataFrame(rows, SCHEMA)
+    found, models = {}, []
+    fitted = U.fitted
+    try:
+        U.fitted = lambda told: models.append(fitted(told)) or models[-1]
+        for n in (1, 3, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found[n] = sorted((r["source_dataset_id"], r["first_segment_id"], r["last_segment_id"]) for r in U.turn_rows(df).collect())
+    finally:
+        U.fitted = fitted
+        spark.conf.set("spark.sql.shuffle.partitions", 6)
+    assert models[0] == models[1] == models[2]
+    clean = []
+    for rec, _, seg, text, label, start, end, _ in rows:
+        found_label, spoken = U.clean(text)
+        labels = tuple(dict.fromkeys(x for x in (U.speaker_of(label), found_label) if x))
+        clean.append((rec, seg, round(start * 1000), round(end * 1000), labels, frozenset(U._WORDS.findall(spoken.lower()))))
+    want = plainly(clean, models[0])
+    assert found[1] == found[3] == found[50] == want
+
+
+def test_notes_and_remarks_of_any_length():
+    long = "a very long note " * 700
+    assert U.clean(f"hello [{long}] there ({long}) <{long}> *{long.strip()}* {{{long}}} again") == (None, "hello there again")
+    assert U.clean(f"ex 12 ({long}): yes") == ("ex:12", "yes") and U.clean(f"[ex 12 - {long}] yes") == ("ex:12", "yes")
+    assert U.clean(f"{'x' * 5000}- {'x' * 5000}y goes")[1] == f"{'x' * 5000}y goes"
+    assert len(U.clean("[ ( < { * # " * 100_000)[1]) >= 0
+
+
+def test_turns_of_many_segments_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(U, "PART_SEGMENTS", 7)
+    rows = [(1, 0, i, f"word{i}", "ex1" if i < 40 else "ex2", float(i), i + 0.9, "") for i in range(43)]
+    parts = sorted(U.turn_parts(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: (r["turn_no"], r["part_no"]))
+    assert [(r["turn_no"], r["part_no"], len(r["text"].split())) for r in parts] == [*[(0, i, 7) for i in range(5)], (0, 5, 5), (1, 0, 3)]
+    assert " ".join(r["text"] for r in parts) == " ".join(f"word{i}" for i in range(43))
 
 
-def test_border_scores_are_log_odds_of_counts():
-    assert U.border_scores([9, 0], [0, 9]) == pytest.approx([-math.log(10), math.log(10)])
-    long_pause, none = U.cell_of(5000, frozenset("ab"), frozenset("cd")), U.cell_of(-500, frozenset("ab"), frozenset("ab"))
-    assert 0 <= none < long_pause < U.CELLS
+def test_hidden_labels_are_found_better_than_by_the_last_one(spark):
+    r = U.masked(spark.read.parquet("/root/testdata/sf0.01/segments.parquet")).first()
+    assert r["n_segments"] > 1500 and r["n_hidden"] > 250 and r["n_right"] >= r["n_by_last"] > 0.5 * r["n_hidden"]
