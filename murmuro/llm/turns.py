@@ -33,9 +33,9 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window
@@ -107,9 +107,8 @@ def speaker_of(label: str | None) -> str | None:
     return f"{found[1].lower()}:{int(found[2])}" if found else None
 
 
-def _is_filler(found: re.Match, words: set[str]) -> bool:
-    languages = WORDS_TOO.get(re.sub(r"\W", "", found[0]).lower())
-    return not languages or not words & set(languages.split())
+_LANGUAGES = {word: frozenset(frequent.split()) for word, frequent in WORDS_TOO.items()}
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def clean(text: str | None) -> tuple[str | None, str]:
@@ -131,12 +130,15 @@ def clean(text: str | None) -> tuple[str | None, str]:
         text = NOTES.sub(" ", text)
     if "-" in text:
         text = BROKEN.sub("", text)
-    words: set[str] = set()
+    words: frozenset[str] | None = None
 
     def filler(found: re.Match) -> str:
-        if not words:
-            words.update(w.lower() for w in re.findall(r"[^\W\d_]+", text))
-        return " " if _is_filler(found, words) else found[0]
+        nonlocal words
+        if (frequent := _LANGUAGES.get(found[0].rstrip(" .,…\t\n").lower())) is None:
+            return " "
+        if words is None:
+            words = frozenset(_LETTERS.findall(text.lower()))
+        return " " if words.isdisjoint(frequent) else found[0]
 
     text = " ".join(_FILLER.sub(filler, text).split())
     text = _LOOSE.sub(r"\1", text)
@@ -196,9 +198,9 @@ def border_scores(same: np.ndarray, changed: np.ndarray) -> tuple[list[list[floa
 
 
 def label_scores(agree: int, disagree: int) -> tuple[float, float]:
-    """The log-likelihood of a right label and of a wrong one."""
+    """The log-likelihood of a right label and of a wrong one, both less the right one's: a right label changes no score."""
     wrong = (disagree + DOUBTED) / (agree + disagree + TRUSTED)
-    return math.log1p(-wrong), math.log(wrong / 2)
+    return 0.0, math.log(wrong / 2) - math.log1p(-wrong)
 
 
 @dataclass(frozen=True)
@@ -243,7 +245,7 @@ def stepped(old: dict[str, list[float]], who: tuple[str, ...], labels: tuple[str
     stay, change = model.stay[cell], model.change[cell]
     ends = {}
     for s, o in old.items():
-        e = [a + b for a, b in zip(o, change)]
+        e = list(map(add, o, change))
         top = max(e)
         ends[s] = (top, LONGEST - 1 - e[::-1].index(top))
     new, source = {}, {}
@@ -259,7 +261,9 @@ def stepped(old: dict[str, list[float]], who: tuple[str, ...], labels: tuple[str
         if o is None:
             new[y] = [best + evidence, *_NONE[1:]]
         else:
-            on = [a + b + evidence for a, b in zip(o, stay)]
+            on = list(map(add, o, stay))
+            if evidence:
+                on = [x + evidence for x in on]
             last = on.pop()
             if last >= on[-1]:
                 on[-1] = last
@@ -709,18 +713,24 @@ def cleaned(segments: DataFrame) -> DataFrame:
     kept = valid_segments(segments).where("source_dataset_id is not null and segment_id is not null and text is not null")
     once = kept.groupBy("source_dataset_id", "segment_id").agg(F.min(F.struct("start_ms", "end_ms", "text", F.coalesce("speaker", F.lit("")).alias("speaker"))).alias("r"))
 
-    @F.pandas_udf("struct<label string, found string, words array<int>, text string>")
-    def read(labels: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        rows, known = [], {}
-        for label, text in zip(labels, texts):
+    @F.arrow_udf("struct<label string, found string, words array<int>, text string>")
+    def read(labels: pa.Array, texts: pa.Array) -> pa.Array:
+        named, founds, spokens, words, ends = [], [], [], [], [0]
+        known: dict[str, str | None] = {}
+        crc = zlib.crc32
+        for label, text in zip(labels.to_pylist(), texts.to_pylist()):
             if label not in known:
                 if len(known) > 100_000:
                     known.clear()
                 known[label] = speaker_of(label)
             found, spoken = clean(text)
-            words = np.array([zlib.crc32(w.encode()) for w in set(_WORDS.findall(spoken.lower()))], np.uint32).view(np.int32)
-            rows.append((known[label], found, words, spoken))
-        return pd.DataFrame(rows, columns=["label", "found", "words", "text"])
+            words += [crc(w.encode()) for w in set(_WORDS.findall(spoken.lower()))]
+            ends.append(len(words))
+            named.append(known[label])
+            founds.append(found)
+            spokens.append(spoken)
+        hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(words, np.uint32).view(np.int32)))
+        return pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.array(founds, pa.string()), hashes, pa.array(spokens, pa.string())], ["label", "found", "words", "text"])
 
     return (
         once.select(F.col("source_dataset_id").cast("long").alias("rec"), F.col("segment_id").cast("int").alias("seg"), F.col("r.start_ms").alias("start"), F.col("r.end_ms").alias("end"), read("r.speaker", "r.text").alias("c"))
