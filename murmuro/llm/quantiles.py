@@ -1,10 +1,11 @@
 """Percentiles per group over any number of values, from sketches that add up.
 
-A value is encoded as a 32-bit number of the same order. For each binary resolution of that number
-there is one count-sketch: rows of signed counters, in which a hash gives each prefix a place and a
-sign. The coarse resolutions are counted exactly. Sketches of partitions, days or other row sets merge
-by addition, and rows are deleted by adding them with a negative count. A percentile is found by
-descending from the coarsest resolution, at each step into the half that holds the wanted rank.
+A value is encoded as a number of the same order: of 32 bits for FLOAT, of 64 for other types, which are
+taken as DOUBLE. For each binary resolution of that number there is one count-sketch: rows of signed
+counters, in which a hash gives each prefix a place and a sign. The coarse resolutions are counted exactly.
+Sketches of partitions, days or other row sets merge by addition, and rows are deleted by adding them with
+a negative count. A percentile is found by descending from the coarsest resolution, at each step into the
+half that holds the wanted rank.
 
 Beside the counters a sketch keeps exact counts of values; when they are more than 2 * KEPT, all but
 the KEPT most frequent move into the counters. So a small group is exact, and values that fill much of a group (ties)
@@ -12,6 +13,9 @@ don't disturb its counters.
 
 Error: the rank of the answer differs from the wanted rank by less than RANK_ERROR times the number of
 values, but for a chance below one in a thousand per answer; tests/llm measures it.
+
+Shuffled are, per task and group, about 2 to 3 bytes a value or 15 to 30 KB, whichever is less; small scan
+tasks are put together before, so that a task has TASK_BYTES where there is enough.
 """
 
 from __future__ import annotations
@@ -21,38 +25,46 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BITS, EXACT_BITS, ROWS, WIDTH_BITS = 32, 13, 3, 9
+#: Bits of a code, and the first of them, which are counted exactly.
+EXACT = {32: 13, 64: 16}
+ROWS, WIDTH_BITS = 3, 9
 WIDTH = 1 << WIDTH_BITS
-LEVELS = BITS - EXACT_BITS
 #: Values that keep exact counts when others move into the counters.
-KEPT = 8192
+KEPT = 512
 RANK_ERROR = 0.005
 #: Bytes of sketches that a task holds before it passes them on, and rows it looks at at once.
 HELD_BYTES = 64 << 20
 CHUNK_ROWS = 1 << 20
+#: Bytes of input that a task has, about, if there are more tasks than cores.
+TASK_BYTES = 128 << 20
 #: Partial sketches of a key that one task merges, about; more are merged in two steps.
 FAN_IN = 512
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 
 _rng = np.random.default_rng(20240607)
-_A = _rng.integers(0, 1 << 63, (LEVELS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, (LEVELS, ROWS), dtype=np.uint64)
+_A = _rng.integers(0, 1 << 63, (64, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, (64, ROWS), dtype=np.uint64)
 _DOWN = np.uint64(64 - WIDTH_BITS - 1)
+_CODES = {32: (np.float32, np.uint32), 64: (np.float64, np.uint64)}
 
 
-def encode(values: np.ndarray) -> np.ndarray:
-    """Numbers of 32 bits in the order of the values (as float32); -0.0 is 0.0."""
-    bits = (values.astype(np.float32) + np.float32(0)).view(np.uint32)
-    return np.where(bits >> 31 == 1, ~bits, bits | np.uint32(1 << 31)).astype(np.uint32)
+def encode(values: np.ndarray, bits: int = 32) -> np.ndarray:
+    """Numbers of so many bits in the order of the values; -0.0 is 0.0."""
+    real, code = _CODES[bits]
+    raw = (values.astype(real) + real(0)).view(code)
+    return np.where(raw >> code(bits - 1) == 1, ~raw, raw | code(1 << (bits - 1))).astype(code)
 
 
-def decode(code: int) -> float:
-    bits = code & 0x7FFFFFFF if code >> 31 else ~code & 0xFFFFFFFF
-    return float(np.array([bits], np.uint32).view(np.float32)[0])
+def decode(code: int, bits: int = 32) -> float:
+    real, kind = _CODES[bits]
+    top = 1 << (bits - 1)
+    raw = code & (top - 1) if code & top else ~code & (2 * top - 1)
+    return float(np.array([raw], kind).view(real)[0])
 
 
 def _places(level: int, row: int, prefixes: np.ndarray) -> np.ndarray:
@@ -61,16 +73,17 @@ def _places(level: int, row: int, prefixes: np.ndarray) -> np.ndarray:
 
 
 class Sketch:
-    __slots__ = ("codes", "counts", "exact", "counters")
+    __slots__ = ("bits", "levels", "codes", "counts", "exact", "counters")
 
-    def __init__(self) -> None:
-        self.codes, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    def __init__(self, bits: int = 32) -> None:
+        self.bits, self.levels = bits, bits - EXACT[bits]
+        self.codes, self.counts = np.zeros(0, _CODES[bits][1]), np.zeros(0, np.int64)
         self.exact: np.ndarray | None = None
         self.counters: np.ndarray | None = None
 
     @property
     def size(self) -> int:
-        return 12 * len(self.codes) + (0 if self.exact is None else self.exact.nbytes + self.counters.nbytes)
+        return 16 * len(self.codes) + (0 if self.exact is None else self.exact.nbytes + self.counters.nbytes)
 
     @property
     def total(self) -> int:
@@ -94,10 +107,10 @@ class Sketch:
         codes, counts = self.codes[go].astype(np.uint64), self.counts[go].astype(np.float64)
         self.codes, self.counts = self.codes[stay], self.counts[stay]
         if self.exact is None:
-            self.exact, self.counters = np.zeros(1 << EXACT_BITS, np.int64), np.zeros((LEVELS, ROWS, WIDTH), np.int64)
-        self.exact += np.bincount((codes >> np.uint64(BITS - EXACT_BITS)).astype(np.int64), counts, 1 << EXACT_BITS).astype(np.int64)
-        for level in range(LEVELS):
-            prefixes = codes >> np.uint64(LEVELS - 1 - level)
+            self.exact, self.counters = np.zeros(1 << EXACT[self.bits], np.int64), np.zeros((self.levels, ROWS, WIDTH), np.int64)
+        self.exact += np.bincount((codes >> np.uint64(self.levels)).astype(np.int64), counts, len(self.exact)).astype(np.int64)
+        for level in range(self.levels):
+            prefixes = codes >> np.uint64(self.levels - 1 - level)
             for row in range(ROWS):
                 n = np.bincount(_places(level, row, prefixes), counts, 2 * WIDTH).astype(np.int64)
                 self.counters[level, row] += n[:WIDTH] - n[WIDTH:]
@@ -114,7 +127,7 @@ class Sketch:
     # ---------------------------------------------------------------- ranks
 
     def _count(self, level: int, prefix: int) -> float:
-        """The estimated number of values in the counters with a prefix of EXACT_BITS + level + 1 bits."""
+        """The estimated number of values in the counters with a prefix of EXACT + level + 1 bits."""
         found = []
         for row in range(ROWS):
             at = int(_places(level, row, np.array([prefix], np.uint64))[0])
@@ -130,10 +143,9 @@ class Sketch:
         below = np.concatenate(([0], np.cumsum(self.counts)))
         if self.exact is None:
             ranks = np.clip(np.ceil(np.array(percents) * n / 100), 1, n)
-            return [decode(int(self.codes[i])) for i in np.searchsorted(below[1:], ranks)]
-        edges = np.arange((1 << EXACT_BITS) + 1, dtype=np.uint64) << np.uint64(BITS - EXACT_BITS)
-        kept = below[np.searchsorted(self.codes, edges)]
-        coarse = np.cumsum(self.exact + np.diff(kept))
+            return [decode(int(self.codes[i]), self.bits) for i in np.searchsorted(below[1:], ranks)]
+        kept = np.bincount((self.codes.astype(np.uint64) >> np.uint64(self.levels)).astype(np.int64), self.counts, len(self.exact)).astype(np.int64)
+        coarse = np.cumsum(self.exact + kept)
         return [self._descend(max(1, int(np.ceil(p * n / 100))), coarse, below) for p in percents]
 
     def _descend(self, rank: int, coarse: np.ndarray, below: np.ndarray) -> float:
@@ -142,11 +154,11 @@ class Sketch:
         rough = float(self.exact[prefix])
 
         def kept(at: int, shift: int) -> int:
-            lo, hi = np.searchsorted(self.codes, np.array([at << shift, (at + 1) << shift], np.uint64))
-            return int(below[hi] - below[lo])
+            first, last = np.array([at << shift, ((at + 1) << shift) - 1], np.uint64).astype(self.codes.dtype)
+            return int(below[np.searchsorted(self.codes, last, "right")] - below[np.searchsorted(self.codes, first)])
 
-        for level in range(LEVELS):
-            shift = LEVELS - 1 - level
+        for level in range(self.levels):
+            shift = self.levels - 1 - level
             left, right = self._count(level, 2 * prefix), self._count(level, 2 * prefix + 1)
             spare = (rough - left - right) / 2
             left = min(max(0.0, left + spare), max(0.0, rough))
@@ -155,26 +167,31 @@ class Sketch:
                 prefix, rough = 2 * prefix, left
             else:
                 prefix, rough, rest = 2 * prefix + 1, max(0.0, rough - left), rest - here
-        return decode(prefix)
+        return decode(prefix, self.bits)
 
     # ---------------------------------------------------------------- bytes
 
     def to_bytes(self) -> bytes:
-        parts = [struct.pack("<IB", len(self.codes), self.exact is not None), self.codes.tobytes(), *_packed(self.counts)]
+        """Codes as steps, byte by byte, and numbers in as few bytes as hold them, compressed."""
+        steps = np.diff(self.codes, prepend=self.codes.dtype.type(0))
+        parts = [struct.pack("<BIB", self.bits, len(self.codes), self.exact is not None), steps.view(np.uint8).reshape(len(steps), self.bits // 8).T.tobytes(), *_packed(self.counts)]
         if self.exact is not None:
             parts += [*_packed(self.exact), *_packed(self.counters.ravel())]
-        return b"".join(parts)
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Sketch:
-        n, dense = struct.unpack_from("<IB", data)
-        out, at = cls(), 5
-        out.codes = np.frombuffer(data, np.uint32, n, at)
-        out.counts, at = _unpacked(data, at + 4 * n, n)
+        data = zstandard.ZstdDecompressor().decompress(data)
+        bits, n, dense = struct.unpack_from("<BIB", data)
+        out, at = cls(bits), 6
+        width = bits // 8
+        steps = np.frombuffer(data, np.uint8, width * n, at).reshape(width, n).T.copy().view(out.codes.dtype).ravel()
+        out.codes = np.cumsum(steps, dtype=out.codes.dtype)
+        out.counts, at = _unpacked(data, at + width * n, n)
         if dense:
-            out.exact, at = _unpacked(data, at, 1 << EXACT_BITS)
-            flat, at = _unpacked(data, at, LEVELS * ROWS * WIDTH)
-            out.counters = flat.reshape(LEVELS, ROWS, WIDTH)
+            out.exact, at = _unpacked(data, at, 1 << EXACT[bits])
+            flat, at = _unpacked(data, at, out.levels * ROWS * WIDTH)
+            out.counters = flat.reshape(out.levels, ROWS, WIDTH)
         return out
 
 
@@ -227,19 +244,19 @@ def _sketching(keys: list[str], metrics: list[str], weight: str | None, schema:
         weights = None if weight is None else chunk.column(weight).to_numpy()
         for m in metrics:
             values = chunk.column(m).to_numpy()
+            bits = 8 * values.dtype.itemsize
             fine = np.isfinite(values)
-            packed = (numbers[fine].astype(np.uint64) << np.uint64(BITS)) | encode(values[fine]).astype(np.uint64)
-            if weights is None:
-                packed, counts = np.unique(packed, return_counts=True)
-            else:
-                packed, inverse = np.unique(packed, return_inverse=True)
-                counts = np.bincount(inverse, weights[fine], len(packed)).astype(np.int64)
-            bounds = np.searchsorted(packed, np.arange(len(groups) + 1, dtype=np.uint64) << np.uint64(BITS))
-            codes = packed.astype(np.uint32)
+            at, codes = numbers[fine], encode(values[fine], bits)
+            order = np.lexsort((codes, at)) if bits == 64 else np.argsort((at.astype(np.uint64) << np.uint64(32)) | codes.astype(np.uint64), kind="stable")
+            at, codes = at[order], codes[order]
+            new = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])))) if len(at) else np.zeros(0, np.int64)
+            counts = np.diff(new, append=len(at)) if weights is None else np.add.reduceat(weights[fine][order], new) if len(new) else new
+            at, codes = at[new], codes[new]
+            bounds = np.searchsorted(at, np.arange(len(groups) + 1))
             for g, key in enumerate(groups):
                 lo, hi = bounds[g], bounds[g + 1]
                 if hi > lo:
-                    states.setdefault((*key, m), Sketch()).add(codes[lo:hi], counts[lo:hi])
+                    states.setdefault((*key, m), Sketch(bits)).add(codes[lo:hi], counts[lo:hi])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[tuple, Sketch] = {}
@@ -270,7 +287,7 @@ def _merging(keys: list[str], out: Callable[[Sketch], list], schema: pa.Schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
-        state = Sketch()
+        state: Sketch | None = None
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in keys]
             blobs = batch.column("sketch")
@@ -279,8 +296,12 @@ def _merging(keys: list[str], out: Callable[[Sketch], list], schema: pa.Schema)
                 if key != at:
                     if at is not None:
                         yield row(at, state)
-                    at, state = key, Sketch()
-                state.merge(Sketch.from_bytes(blobs[i].as_py()))
+                    at, state = key, None
+                found = Sketch.from_bytes(blobs[i].as_py())
+                if state is None:
+                    state = found
+                else:
+                    state.merge(found)
         if at is not None:
             yield row(at, state)
 
@@ -301,12 +322,24 @@ def sketches(df: DataFrame, by: Sequence[str], metrics: Sequence[str], weight: s
     """Partial sketches: columns by, metric, sketch; several rows per group, made before any shuffle.
 
     Nulls, NaN and infinite values are left out. A null key is a group. weight: an integer column;
-    negative ones delete. Metrics are taken as FLOAT.
+    negative ones delete. FLOAT metrics have codes of 32 bits; others are taken as DOUBLE, exact to its 53
+    bits, and have codes of 64. A metric keeps its type in all states that are to be merged.
     """
     by, metrics = list(by), list(metrics)
     schema = T.StructType([*_types(df, by), T.StructField("metric", T.StringType()), T.StructField("sketch", T.BinaryType())])
-    values = [F.coalesce(F.col(m).cast("float"), F.lit(float("nan")).cast("float")).alias(m) for m in metrics]
-    return df.select(*by, *values, *([weight] if weight else [])).mapInArrow(_sketching(by, metrics, weight, _arrow(schema)), schema)
+    kinds = {m: "float" if isinstance(df.schema[m].dataType, T.FloatType) else "double" for m in metrics}
+    values = [F.coalesce(F.col(m).cast(k), F.lit(float("nan")).cast(k)).alias(m) for m, k in kinds.items()]
+    return _larger_tasks(df).select(*by, *values, *([weight] if weight else [])).mapInArrow(_sketching(by, metrics, weight, _arrow(schema)), schema)
+
+
+def _larger_tasks(df: DataFrame) -> DataFrame:
+    """df with scan tasks put together to TASK_BYTES, as far as there are more of them than cores; nothing is shuffled."""
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():  # counting its tasks would run it
+        return df
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return df.coalesce(int(wanted)) if wanted < plan.toRdd().getNumPartitions() else df
 
 
 def merged(states: DataFrame, by: Sequence[str]) -> DataFrame:

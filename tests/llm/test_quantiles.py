@@ -111,3 +111,52 @@ def test_tasks_pass_on_what_they_hold(spark, monkeypatch):
     got = Q.percentiles(Q.sketches(df, ["g"], ["v"]), ["g"], [50]).collect()
     assert sorted((r["g"], r["n"]) for r in got) == [(0, 16667), (1, 16667), (2, 16666)]
     assert all(abs(r["p50"] - 25_000) < 50_000 * Q.RANK_ERROR * 2 for r in got)
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_doubles_beyond_the_range_of_floats(kind):
+    values = KINDS[kind](200_000) * 1e300 if kind != "narrow" else 1e15 + RNG.integers(0, 100_000, 200_000).astype(float)
+    values = values[np.isfinite(values)]
+    s = Q.Sketch(64)
+    for part in np.array_split(values, 8):
+        codes, counts = np.unique(Q.encode(part, 64), return_counts=True)
+        s.add(codes, counts)
+    s = Q.Sketch.from_bytes(s.to_bytes())
+    percents = list(range(1, 100))
+    v, answers = np.sort(values), np.array(s.percentiles(percents))
+    wanted = np.ceil(np.array(percents) * len(v) / 100)
+    low, high = np.searchsorted(v, answers, "left"), np.searchsorted(v, answers, "right")
+    assert s.total == len(v) and np.maximum(0, np.maximum(low + 1 - wanted, wanted - high)).max() / len(v) <= Q.RANK_ERROR
+
+
+def test_columns_of_other_types_keep_their_values(spark):
+    df = spark.createDataFrame([(1e300, 16777217, 1.5), (-1e300, 16777217, 2.5), (1e-300, 3, None), (float("inf"), 5, float("nan"))], "d double, i long, f float")
+    got = {r["metric"]: r for r in Q.percentiles(Q.sketches(df, [], ["d", "i", "f"]), [], [1, 50, 99]).collect()}
+    assert (got["d"]["n"], got["d"]["p01"], got["d"]["p50"], got["d"]["p99"]) == (3, -1e300, 1e-300, 1e300)
+    assert (got["i"]["n"], got["i"]["p50"], got["i"]["p99"]) == (4, 5.0, 16777217.0) and got["f"]["n"] == 2
+
+
+@pytest.mark.parametrize("bits", [32, 64])
+def test_sketches_survive_bytes(bits):
+    for n in (0, 1, 700, 50_000):
+        s = Q.Sketch(bits)
+        codes, counts = np.unique(Q.encode(RNG.normal(0, 100, n), bits), return_counts=True)
+        s.add(codes, counts)
+        back = Q.Sketch.from_bytes(s.to_bytes())
+        assert (back.codes == s.codes).all() and (back.counts == s.counts).all() and back.total == s.total == n
+        assert back.percentiles([1, 50, 99]) == s.percentiles([1, 50, 99])
+
+
+def test_counters_answer_where_groups_are_large(spark):
+    """Ranks of answers from counters, against the sorted values; the groups of this table have more values than are kept."""
+    df = spark.read.parquet("/root/testdata/sf0.01/model_metrics.parquet")
+    assert df.groupBy("model", "codebook").agg({"nll": "count"}).agg({"count(nll)": "min"}).first()[0] > 2 * Q.KEPT
+    got = {(r["model"], r["codebook"]): r for r in Q.percentiles(Q.sketches(df, ["model", "codebook"], ["nll"]), ["model", "codebook"]).collect()}
+    values = df.select("model", "codebook", "nll").toPandas()
+    inexact = 0
+    for key, own in values[np.isfinite(values["nll"])].groupby(["model", "codebook"], dropna=False)["nll"]:
+        answers = [got[key][f"p{p:02g}"] for p in Q.PERCENTILES]
+        error = rank_error(own.to_numpy(), answers, Q.PERCENTILES)
+        assert error <= Q.RANK_ERROR + 1 / len(own)
+        inexact += error > 0
+    assert inexact > 0
