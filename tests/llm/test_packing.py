@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from murmuro.llm import packing as P
 from murmuro.operators.compaction import first_fit_decreasing
@@ -31,7 +34,40 @@ def test_windows_hold_and_are_few(sizes):
     found = P.windows_of(sizes, 100)
     if len(sizes):
         assert np.bincount(found, sizes).max() <= 100
-        assert len(set(found.tolist())) <= first_fit_decreasing(sizes, 100).max() + 1
+        used, simple = len(set(found.tolist())), int(first_fit_decreasing(sizes, 100).max()) + 1
+        assert P.fewest(sizes, 100) <= simple and P.fewest(sizes, 100) <= used <= 1.25 * simple + 2
+
+
+def plainly(sizes, parts):
+    """Differencing by its definition: sums only, all zeros kept."""
+    heap = [(-x, i, [x] + [0] * (parts - 1)) for i, x in enumerate(sizes)]
+    heapq.heapify(heap)
+    for turn in range(len(heap), 2 * len(heap) - 1):
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        c = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+        heapq.heappush(heap, (c[-1] - c[0], turn, c))
+    return heap[0][2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 1000), min_size=10, max_size=60, unique=True), st.integers(2, 9))
+def test_appending_to_zeros_is_the_same_as_merging(sizes, parts):
+    got = np.bincount(P.differencing(np.array(sizes), parts), sizes, parts)
+    assert sorted(got.astype(int).tolist(), reverse=True) == plainly(sizes, parts)
+
+
+def test_usual_blocks_need_no_more_than_first_fit_decreasing():
+    for seed in range(5):
+        sizes = np.random.default_rng(seed).lognormal(4, 0.7, 1600).astype(np.int64) + 1
+        assert len(set(P.windows_of(sizes, 2048).tolist())) <= first_fit_decreasing(sizes, 2048).max() + 1
+
+
+def test_one_id_of_many_items_is_dealt_to_many_blocks(spark):
+    df = spark.createDataFrame([("a", None, None, 30, "", "", "")] * 40_000, SCHEMA)
+    out = P.pack(df, "model", ["row_id", "seq_id"], "frames", 2048)
+    assert out.count() == 40_000
+    blocks = [r["count"] for r in out.groupBy(F.substring_index("window", "/", 2)).count().collect()]
+    assert len(blocks) >= 9 and max(blocks) < 40_000 / 5
 
 
 def test_usual_items_fill_windows():
