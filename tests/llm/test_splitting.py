@@ -105,3 +105,81 @@ def test_empty(spark):
     m, s, lay, seg, pau = frames(spark)
     assert S.record_pieces(m, s, lay, seg, pau).count() == 0
     assert S.recording_pieces(seg, pau).count() == 0
+
+
+def tree(lo, hi, cuts):
+    """A node: its range and its children, which its highest boundaries part."""
+    inner = [c for c in cuts if lo < c[0] < hi]
+    if not inner:
+        return (lo, hi, [])
+    top = min(level for _, level in inner)
+    marks = [lo, *[t for t, level in inner if level == top], hi]
+    return (lo, hi, [tree(a, b, [c for c in inner if c[1] > top]) for a, b in zip(marks, marks[1:])])
+
+
+def packed(node, limit):
+    """Bottom-up: children that fit are merged with the one before them if both fit; others are packed by themselves."""
+    lo, hi, children = node
+    if hi - lo <= limit:
+        return [[lo, hi]]
+    if not children:
+        n = -(-(hi - lo) // limit)
+        marks = [lo + (hi - lo) * i // n for i in range(n + 1)]
+        return [list(x) for x in zip(marks, marks[1:])]
+    out, open_ = [], None
+    for child in children:
+        fits = child[1] - child[0] <= limit
+        if fits and open_ is not None and child[1] - open_[0] <= limit:
+            open_[1] = child[1]
+        else:
+            own = packed(child, limit)
+            out += own
+            open_ = own[0] if fits else None
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 3000), st.lists(st.tuples(st.integers(1, 3000), st.integers(0, 3)), max_size=30), st.integers(20, 700))
+def test_packing_is_that_of_the_tree(length, cuts, limit):
+    cuts = sorted({t: level for t, level in cuts if t < length}.items())
+    assert [list(p) for p in S.cut_tree(0, length, cuts, limit)] == packed(tree(0, length, cuts), limit)
+
+
+def test_no_piece_reaches_over_a_higher_boundary_than_it_must():
+    assert S.cut_tree(0, 60, [(25, 1), (40, 0), (50, 0)], 30) == [(0, 25), (25, 40), (40, 60)]
+
+
+@pytest.mark.parametrize("sections", [1, 3, 64])
+def test_records_against_the_tree(spark, monkeypatch, sections):
+    monkeypatch.setattr(S, "SECTION_LIMITS", sections)
+    rng = random.Random(sections)
+    meta, segments, pauses = [], [], []
+    for i in range(40):
+        seconds = rng.choice([20, 31, 64, 200, 900])
+        meta.append(("f", "k", 1, i, 1, i, round(seconds * 12.5), 12.5, "miso", 1, None))
+        segments.append((1, i, 5.0, 5.0 + seconds))
+        t = 5.0
+        while (t := t + rng.choice([1.5, 7.0, 40.0])) < 5 + seconds - 3:
+            pauses.append((1, i, t, t + rng.choice([0.1, 0.5, 1.5])))
+    m, s, lay, seg, pau = frames(spark, meta, [], segments, pauses)
+    got = {}
+    for r in S.record_pieces(m, s, lay, seg, pau).collect():
+        got.setdefault(r["seq_id"], []).append((r["piece_no"], r["start_ms"], r["end_ms"]))
+    for _, _, _, i, _, _, n, *_ in meta:
+        last = -(-n * 1000 * 2 // 25)
+        if last <= 30_000:
+            assert i not in got
+            continue
+        cuts = sorted(((round(a * 1000) + round(b * 1000)) // 2 - 5000, 0 if round((b - a) * 1000) >= 1000 else 1 if round((b - a) * 1000) >= 400 else 2) for _, k, a, b in pauses if k == i)
+        length, borders = 30_000 * sections, [0]
+        for k in range(0, (last - 1) // length if last > length else 0):
+            inside = [(-level, t) for t, level in cuts if k * length <= t < (k + 1) * length]
+            borders.append(max(inside)[1] if inside else (k + 1) * length)
+        borders.append(last)
+        want = []
+        for a, b in zip(borders, borders[1:]):
+            if b > a:
+                want += [(a, b)] if a == 0 and b <= 30_000 else [(lo, hi) for lo, hi in packed(tree(a, b, cuts), 29_000)]
+        pieces = sorted(got[i])
+        assert [p for p, _, _ in pieces] == list(range(len(pieces)))
+        assert [(b, c) for _, b, c in pieces] == [(max(0, lo - 1000) if k else lo, hi) for k, (lo, hi) in enumerate(want)]
