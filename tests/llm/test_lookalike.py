@@ -67,3 +67,46 @@ def test_pairs_against_all_pairs(spark, base):
 def test_canonical_column(spark):
     df = spark.createDataFrame([(1, "ａ b"), (2, None)], "doc_id long, text string")
     assert [r["form"] for r in L.canonical(df, "text", "form").orderBy("doc_id").collect()] in (["a b", None], ["ａ b", None])
+
+
+WIDE = ALPHABET + Counter(unicodedata.normalize("NFD", "QԚqԛwԝvνѵgɡlӏAᎪтᴛuսnոøØđħŧıȷ̸̵̇rmhdtbioOjJ–—'’\u2018“”\"" + "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ" + TEXT))
+WIDE_TABLE = frozenset(L.representatives(WIDE).items())
+
+
+@pytest.mark.parametrize(("a", "b"), [
+    ("Qq", "Ԛԛ"), ("wave", "ԝаνе"), ("god", "ɡоԁ"), ("l", "ӏ"), ("A", "Ꭺ"), ("т", "ᴛ"), ("sun", "ѕսո"), ("BLUE", "ꓐꓡꓴꓰ"), ("smørrebrød", "smo̸rrebro̸d"), ("Ø", "О̸"), ("smørre", "smо̸rre"),
+    ("đ", "d̵"), ("đ", "ԁ̵"), ("ħŧ", "h̵t̵"), ("i", "ı̇"), ("jam", "ȷ̇am"), ("ﬁn", "fіn"), ("ﬁn", "fı̇n"),
+])
+def test_more_letters_and_strings(a, b):
+    assert L.rewrite(a, WIDE_TABLE) == L.rewrite(b, WIDE_TABLE)
+
+
+def test_no_class_holds_visibly_different_members():
+    visible = ["0O", "1l", "1I", "lI", "-–", "–—", "'’", "\"“", "mr", "kк", "ıi", "oø", "dđ", "uv", "nh", "bв", "tт", "mм", "hн", "uυ", "pρ"]
+    for a, b in visible:
+        assert L.rewrite(a, WIDE_TABLE) != L.rewrite(b, WIDE_TABLE), (a, b)
+    assert L.rewrite("modern", WIDE_TABLE) != L.rewrite("rnodern", WIDE_TABLE)
+    plain = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'\"()-–—/\\|_@#%&*+=<>[]{}~^$`"
+    forms = [L.rewrite(c, WIDE_TABLE) for c in plain]
+    assert len(set(forms)) == len(plain)
+
+
+def test_keys_of_several_characters_and_any_choice_of_representatives():
+    assert sum(len(k) > 1 for k, _ in WIDE_TABLE) >= 9
+    strokes = frozenset(L.representatives(Counter({"o": 50, "\u0338": 40, "\u00f8": 3})).items())
+    assert L.rewrite("\u00f8", strokes) == L.rewrite("o\u0338", strokes) == "o\u0338"
+    for text in ("smo\u0338r ѕսո ﬁ", "О̸ ı̇ ԁ̵"):
+        once = L.rewrite(text, WIDE_TABLE)
+        assert L.rewrite(once, WIDE_TABLE) == once
+    cyrillic = frozenset(L.representatives(Counter({"f": 5, "i": 5, "і": 90, "\ufb01": 2})).items())
+    assert L.rewrite("\ufb01", cyrillic) == L.rewrite("fi", cyrillic) == L.rewrite("fі", cyrillic) == "fі"
+
+
+def test_classes_of_texts(spark, monkeypatch):
+    texts = [(1, "one text"), (2, "one  text"), (3, "one text"), (4, "оne text"), (5, None), (6, ""), (8, " "), (9, "One text"), (10, "One text")]
+    df = spark.createDataFrame([(*r, *["z"] * 7) for r in texts], SCHEMA).repartition(4)
+    got = {r["doc_id"]: tuple(r)[1:] for r in L.classes(df, "doc_id", "text").collect()}
+    assert got == {1: (1, 4, 2), 2: (1, 4, 3), 3: (1, 4, 2), 4: (1, 4, 3), 9: (9, 2, 0), 10: (9, 2, 0)}
+    assert L.classes(df.limit(0), "doc_id", "text").count() == 0
+    monkeypatch.setattr(L, "PAIRED", 1)
+    assert {(r[0], r[1]) for r in L.pairs(df, "doc_id", "text").collect()} == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
