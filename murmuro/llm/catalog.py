@@ -271,7 +271,6 @@ SQL = {
     "p10_found": f"""
         WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
         SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE a.form <> ''""",
-    "p10_canonical": f"SELECT doc_id, form, form = text AS unchanged FROM (SELECT doc_id, text, {_FORM} AS form FROM documents)",
     "p10_classes": f"""
         WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, count(*) OVER (PARTITION BY form) AS n_members, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, text) AS n_links FROM f WHERE form <> ''""",

@@ -3,31 +3,42 @@
 A seed is a fixed mask over a window of words; what it hashes are the words at the mask's places, so a
 changed word at another place doesn't hide the window. The hashes of all windows of the test items are
 joined with those of all windows of the corpus, and around each hit the two texts are laid side by
-side, whole, and compared word by word with room for substitutions. Where every overlap of OVERLAP words
-with changes is wanted, the seeds are RUN words in a row, which each such overlap has.
+side, the whole item, and compared word by word with room for substitutions. Where every overlap of OVERLAP
+words with changes is wanted, the seeds are RUN words in a row, which each such overlap has.
+
+The corpus is read once. A filter of the test hashes (a Bloom filter, built in segments by tasks, of a bounded
+size) drops most other windows there; what is left is joined with the test hashes by value, in PARTS parts
+a hash, so a passage that very many documents hold is many tasks'. Neither texts nor hits reach the driver.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from murmuro.llm.lookalike import learn, rewrite
+from murmuro.session import store
 
 #: Words that must follow one another for a leak.
 WINDOW = 12
 # The masks; 1 is hashed, 0 is passed over.
 MASKS = ("111011010111", "110110111011", "101101101101")
-#: Test items, and characters of them, that are looked for in one pass over the corpus; more are taken in
-#: blocks of so many. An item with more characters is a block of its own.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+#: Bits of the filter of test hashes that is sent to the workers, for each hash and at most (then it lets more
+#: through, and the join does the rest).
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 31
+#: Parts that the windows of one hash are dealt to in the join.
+PARTS = 16
+#: Words whose codes a worker remembers.
+REMEMBERED = 1_000_000
 #: One changed word in so many is allowed within a tolerant overlap.
 CHANGED_ONE_IN = 6
 #: Words of the shortest tolerant overlap that is looked for, and the words in a row that every tolerant overlap of that length or more has somewhere.
@@ -72,34 +83,68 @@ def masks_for(length: int, tolerant: bool = False) -> list[str]:
     return sorted({m[:length] for m in MASKS})
 
 
-class Items:
-    """Test items, ready to be looked for. Those without words aren't looked for."""
-
-    def __init__(self, items: list[tuple[int, str | None]], table: frozenset, tolerant: bool = False) -> None:
-        spelled = [(i, words_of(t, table)) for i, t in items]
-        self.numbers: dict[str, int] = {}
-        self.items = [(i, np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in ws], np.int64)) for i, ws in spelled if ws]
-        by_mask: dict[str, list[tuple[int, int, int]]] = {}
-        for k, (_, ids) in enumerate(self.items):
-            for mask in masks_for(len(ids), tolerant):
-                by_mask.setdefault(mask, []).extend((int(h), k, p) for p, h in enumerate(seed_hashes(ids, mask)))
-        self.seeds = {}
-        for mask, found in by_mask.items():
-            found.sort()
-            self.seeds[mask] = (np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found]), np.array([f[2] for f in found]))
-
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """(place, item, shift) of every window of ids with the hash of an item's window; shift is the item's start in ids."""
-        out = []
-        for mask, (known, item, place) in self.seeds.items():
-            hashes = seed_hashes(ids, mask)
-            left, right = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
-            at = np.flatnonzero(right > left)
-            times = right[at] - left[at]
-            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(left[at], times)
-            p = np.repeat(at, times)
-            out.append(np.stack([p, item[inner], p - place[inner]], axis=1))
-        return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+_known: dict[str, int] = {}
+
+
+def word_codes(words: list[str]) -> np.ndarray:
+    """A number of 64 bits, never 0, for each word."""
+    if len(_known) > REMEMBERED:
+        _known.clear()
+    out = np.empty(len(words), np.uint64)
+    for i, w in enumerate(words):
+        code = _known.get(w)
+        if code is None:
+            code = _known[w] = xxhash.xxh3_64_intdigest(w) or 1
+        out[i] = code
+    return out
+
+
+# ------------------------------------------------------------------ the filter
+
+
+def probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a filter of 2 ** bits bits."""
+    down = np.uint64(64 - bits)
+    return hashes >> down, (hashes * _STEP) >> down
+
+
+def held(filter_: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold hashes; never false for one that it holds."""
+    a, b = probes(hashes, bits)
+    test = lambda at: (filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+    return (test(a) & test(b)).astype(bool)
+
+
+def filter_of(seeds: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """The filter of a column of hashes, and the logarithm of its size: FILTER_BITS a hash, MOST_FILTER_BITS at most."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, n) * FILTER_BITS)), 16, np.log2(MOST_FILTER_BITS)))
+    segment = min(bits, 20)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.concatenate(probes(batch.column(0).to_numpy().view(np.uint64), bits))
+            for s in np.unique(at >> np.uint64(segment)).tolist():
+                own = places.setdefault(s, np.zeros(1 << (segment - 3), np.uint8))
+                inner = (at[at >> np.uint64(segment) == s] & np.uint64((1 << segment) - 1)).astype(np.int64)
+                np.bitwise_or.at(own, inner >> 3, (1 << (inner & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.int64()), pa.array([x.tobytes() for x in places.values()], pa.binary())], ["segment", "bits"])
+
+    # each task makes its hashes' part of each segment; these are put together, a segment's in one task
+    made = seeds.select("hash").mapInArrow(build, "segment long, bits binary")
+
+    @F.pandas_udf("binary")
+    def either(parts: pd.Series) -> bytes:
+        return np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts]).tobytes()
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    width = 1 << (segment - 3)
+    for r in made.groupBy("segment").agg(either("bits").alias("bits")).toLocalIterator():
+        out[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+    return out, bits
+
+
+# ------------------------------------------------------------------ hits and overlaps
 
 
 def longest_run(same: np.ndarray) -> tuple[int, int]:
@@ -124,88 +169,116 @@ def tolerant_overlap(same: np.ndarray, start: int | None = None, length: int = 0
     return max(length, int((ends[fits] - begins[at[fits]]).max(initial=0)))
 
 
-def leaks_in(items: Items, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-    """(text, item, words in a row, words with substitutions) for each text and item that share a seed."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    begins = np.cumsum(sizes + WINDOW) - (sizes + WINDOW)
-    gap = np.zeros(WINDOW, np.int64)
-    whole = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
-    found = items.candidates(whole)
-    if not len(found):
-        return []
-    text = np.searchsorted(begins, found[:, 0], "right") - 1
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for t, k, shift in np.unique(np.stack([text, found[:, 1], found[:, 2] - begins[text]], axis=1), axis=0):
-        ids, wanted = texts[t], items.items[k][1]
-        lo, hi = max(0, -shift), min(len(wanted), len(ids) - shift)
-        run, _ = longest_run(ids[lo + shift : hi + shift] == wanted[lo:hi]) if hi > lo else (0, 0)
-        if run:
-            tolerant = tolerant_overlap(ids[lo + shift : hi + shift] == wanted[lo:hi])
-            old = best.get((t, k), (0, 0))
-            best[t, k] = (max(old[0], run), max(old[1], tolerant))
-    return [(int(t), int(k), a, b) for (t, k), (a, b) in best.items()]
-
-
-_built: list[tuple[object, Items]] = []
-
-
-def _ready(sent: tuple) -> Items:
-    """The items of a broadcast, made once in a worker."""
-    if not _built or _built[0][0] is not sent:
-        _built[:] = [(sent, Items(*sent))]
-    return _built[0][1]
+def _wording(table: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """n, id and words of test items (n, id, text) that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [word_codes(words_of(t, table.value)) for t in batch.column(2).to_pylist()]
+            kept = [i for i, c in enumerate(codes) if len(c)]
+            words = pa.array([codes[i].view(np.int64) for i in kept], pa.list_(pa.int64()))
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), words], ["n", "id", "words"])
+
+    return run
+
+
+def _seeding(tolerant: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """hash, n and place of every window of test items (n, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, ns, places = [], [], []
+            for n, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = words.values.to_numpy().view(np.uint64)
+                for mask in masks_for(len(ids), tolerant):
+                    h = seed_hashes(ids, mask)
+                    hashes.append(h)
+                    ns.append(np.full(len(h), n))
+                    places.append(np.arange(len(h), dtype=np.int32))
+            if hashes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ns), pa.int64()), pa.array(np.concatenate(places))], ["hash", "n", "place"])
+
+    return run
+
+
+def _hitting(table: Broadcast, masks: list[str], sieve: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc, words and hits (hash, place) of documents (doc, text) with a window that the filter lets through."""
+    gap = np.zeros(WINDOW, np.uint64)
+    kinds = pa.list_(pa.struct({"hash": pa.int64(), "place": pa.int32()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_, bits = sieve.value
+        forms = table.value
+        for batch in batches:
+            texts = [word_codes(words_of(t, forms)) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            begins = np.cumsum(sizes + WINDOW) - (sizes + WINDOW)
+            whole = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
+            found, where = [], []
+            for mask in masks:
+                h = seed_hashes(whole, mask)
+                at = np.flatnonzero(held(filter_, bits, h))
+                found.append(h[at])
+                where.append(at)
+            hashes, at = np.concatenate(found), np.concatenate(where)
+            order = np.argsort(at, kind="stable")
+            hashes, at = hashes[order], at[order]
+            text = np.searchsorted(begins, at, "right") - 1
+            inside = at - begins[text] < sizes[text]
+            hashes, at, text = hashes[inside], at[inside], text[inside]
+            docs, first = np.unique(text, return_index=True)
+            ends = pa.array(np.append(first, len(text)), pa.int32())
+            hits = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(hashes.view(np.int64)), pa.array((at - begins[text]).astype(np.int32))], ["hash", "place"])).cast(kinds)
+            words = pa.array([texts[i].view(np.int64) for i in docs], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), words, hits], ["doc", "words", "hits"])
+
+    return run
+
+
+def _comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """m, n, words in a row and words with changes of an item (words) and the part of a document beside it (beside), from the item's word lo on."""
+    for batch in batches:
+        rows, changes = [], []
+        for words, beside, lo in zip(batch.column("words"), batch.column("beside"), batch.column("lo").to_pylist()):
+            b = beside.values.to_numpy()
+            same = words.values.to_numpy()[lo : lo + len(b)] == b
+            rows.append(longest_run(same)[0])
+            changes.append(tolerant_overlap(same))
+        yield pa.RecordBatch.from_arrays([batch.column("m"), batch.column("n"), pa.array(rows, pa.int32()), pa.array(changes, pa.int32())], ["m", "n", "words_in_row", "words_with_changes"])
 
 
 def find(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", tolerant: bool = False) -> DataFrame:
     """Rows (doc, item, item_words, words_in_row, words_with_changes) for each document that shares a seed with an item.
 
     No pair with WINDOW words in a row, or with a whole shorter item, is missed; with tolerant, none with OVERLAP words with changes either.
-    The test items are taken in blocks of BLOCK_ITEMS at most, each with one pass over the whole corpus, so
-    what is sent to the workers has a bound. Null and blank texts and items without words match
-    nothing. Repeated documents are reported each.
+    Null and blank texts and items without words match nothing. Repeated documents and items are
+    reported each. The words of a text are told apart by 64 bits.
     """
     spark = corpus.sparkSession
-    table = learn(corpus.select(text).unionByName(items.select(text)), text)
-    listed = items.select(item, text).orderBy(item)
-    counts = [T.StructField(c, T.IntegerType()) for c in ("item_words", "words_in_row", "words_with_changes")]
-    schema = T.StructType([corpus.schema[doc], items.schema[item], *counts])
-    kinds = to_arrow_schema(schema)
-
-    def passes() -> Iterator[list[tuple[int, str | None]]]:
-        block: list[tuple[int, str | None]] = []
-        chars = 0
-        for row in listed.toLocalIterator():
-            size = len(row[1] or "")
-            if block and (len(block) == BLOCK_ITEMS or chars + size > BLOCK_CHARS):
-                yield block
-                block, chars = [], 0
-            block.append((row[0], row[1]))
-            chars += size
-        if block:
-            yield block
-
-    def search(block: list[tuple[int, str | None]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast((block, table, tolerant))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            forms = sent.value[1]
-            ready = _ready(sent.value)
-            number = ready.numbers.get
-            for batch in batches:
-                ids = [np.array([number(w, 0) for w in words_of(t, forms)], np.int64) for t in batch.column(1).to_pylist()]
-                found = leaks_in(ready, ids)
-                columns = [
-                    batch.column(0).take(pa.array([t for t, *_ in found], pa.int64())), pa.array([ready.items[k][0] for _, k, *_ in found], kinds.field(1).type),
-                    *[pa.array(v, pa.int32()) for v in ([len(ready.items[k][1]) for _, k, *_ in found], [a for *_, a, _ in found], [b for *_, b in found])],
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=kinds)
-
-        return corpus.select(F.col(doc).alias("__doc"), F.col(text).alias("__text")).mapInArrow(run, schema)
-
-    out = None
-    for block in passes():
-        out = search(block) if out is None else out.unionByName(search(block))
-    return spark.createDataFrame([], schema) if out is None else out
+    table = spark.sparkContext.broadcast(learn(corpus.select(text).unionByName(items.select(text)), text))
+    listed = items.select(F.monotonically_increasing_id().alias("n"), F.col(item).alias("id"), F.col(text).alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*corpus.select(doc).schema.fields, *items.select(item).schema.fields]}
+    known = store(listed.mapInArrow(_wording(table), f"n long, id {kinds[item]}, words array<long>"), "items")
+    lengths = [r[0] for r in known.select(F.least(F.size("words"), F.lit(WINDOW)).alias("k")).distinct().collect()]
+    masks = sorted({m for k in lengths for m in masks_for(k, tolerant)})
+    seeds = store(known.select("n", "words").mapInArrow(_seeding(tolerant), "hash long, n long, place int"), "seeds")
+    sieve = spark.sparkContext.broadcast(filter_of(seeds, seeds.count()))
+    hit = corpus.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(_hitting(table, masks, sieve), f"doc {kinds[doc]}, words array<long>, hits array<struct<hash: bigint, place: int>>") if masks else None
+    if hit is None:
+        return spark.createDataFrame([], T.StructType([corpus.schema[doc], items.schema[item], *[T.StructField(c, T.IntegerType()) for c in ("item_words", "words_in_row", "words_with_changes")]]))
+    hit = store(hit.withColumn("m", F.monotonically_increasing_id()), "hits")
+    windows = hit.select("m", F.explode("hits").alias("h")).select("m", "h.hash", "h.place", F.pmod("m", F.lit(PARTS)).cast("int").alias("part"))
+    dealt = seeds.select("hash", "n", F.col("place").alias("own"), F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("part"))
+    shifts = windows.join(dealt, ["hash", "part"]).groupBy("m", "n").agg(F.collect_set(F.col("place") - F.col("own")).alias("shifts"))
+    pairs = shifts.join(known.select("n", F.col("words")), "n").join(hit.select("m", F.col("words").alias("all")), "m")
+    at = pairs.select("m", "n", "words", "all", F.explode("shifts").alias("shift"))
+    lo, first = F.greatest(-F.col("shift"), F.lit(0)), F.greatest(F.col("shift"), F.lit(0))
+    beside = F.slice("all", first + 1, F.greatest(F.least(F.size("words") + F.col("shift"), F.size("all")) - first, F.lit(0)))
+    judged = at.select("m", "n", "words", beside.alias("beside"), lo.alias("lo")).mapInArrow(_comparing, "m long, n long, words_in_row int, words_with_changes int")
+    best = judged.groupBy("m", "n").agg(F.max("words_in_row").alias("words_in_row"), F.max("words_with_changes").alias("words_with_changes")).where("words_in_row > 0")
+    named = best.join(known.select("n", F.col("id").alias("__item"), F.size("words").alias("item_words")), "n").join(hit.select("m", F.col("doc").alias("__doc")), "m")
+    return named.select(F.col("__doc").alias(doc), F.col("__item").alias(item), "item_words", "words_in_row", "words_with_changes")
 
 
 def leaked(found: DataFrame) -> DataFrame:

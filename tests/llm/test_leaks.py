@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from murmuro.llm import leaks as K
@@ -48,11 +49,12 @@ def items_like(rng):
 SCHEMA = "doc_id long, text string, item_id string, item_words string, words_in_row string, __doc string"
 
 
-@pytest.mark.parametrize("block", [7, 20_000])
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 31])
 @pytest.mark.parametrize("seed", range(2))
-def test_against_all_pairs(spark, monkeypatch, seed, block):
-    monkeypatch.setattr(K, "BLOCK_ITEMS", block)
-    monkeypatch.setattr(K, "BLOCK_CHARS", 300 if block == 7 and seed else 10_000_000)
+def test_against_all_pairs(spark, monkeypatch, seed, bits):
+    monkeypatch.setattr(K, "MOST_FILTER_BITS", bits)
+    if seed:
+        monkeypatch.setattr(K, "PARTS", 3)
     docs, items = corpus(random.Random(seed))
     d = spark.createDataFrame([(*r, *["x"] * 4) for r in docs], SCHEMA).repartition(4)
     e = spark.createDataFrame([(*r, "x") for r in items], "item_id int, text string, doc_id string")
@@ -160,3 +162,28 @@ def test_large_and_null_ids(spark):
     docs = spark.createDataFrame([(big, text), (None, text)], "doc_id long, text string")
     got = K.leaked(K.find(docs, spark.createDataFrame([(big, text), (None, text)], "item_id long, text string"))).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(a, b) for a in (big, None) for b in (big, None)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 900, 300_000])
+def test_a_filter_holds_what_was_put_in(spark, n):
+    hashes = np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    df = spark.createDataFrame(pd.DataFrame({"hash": hashes.view(np.int64)}), "hash long").repartition(3)
+    found, bits = K.filter_of(df, n)
+    assert K.held(found, bits, hashes).all()
+    others = np.random.default_rng(7).integers(0, 1 << 63, 100_000, dtype=np.uint64)
+    assert K.held(found, bits, others).mean() < 0.05
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(K, "MOST_FILTER_BITS", 1 << 16)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(900))) for i in range(60)]
+    docs = [(i, "before " + " ".join(f"w{i}x{k}" for k in range(i, i + 12)) + " after") for i in range(60)]
+    got = K.leaked(K.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"))).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(60)}
+
+
+def test_a_passage_in_a_third_of_all_documents(spark):
+    passage = " ".join(f"p{k}" for k in range(15))
+    docs = spark.range(6000).selectExpr("id as doc_id", f"concat_ws(' ', 'own', id, case when id % 3 = 0 then '{passage}' else 'words' end) as text")
+    items = spark.createDataFrame([(i, passage + f" item {i}") for i in range(5)], "item_id int, text string")
+    assert K.leaked(K.find(docs, items)).count() == 2000 * 5
