@@ -33,8 +33,8 @@ WINDOW = 12
 # The masks; 1 is hashed, 0 is passed over.
 MASKS = ("111011010111", "110110111011", "101101101101")
 #: Bits of the filter of test hashes that is sent to the workers, for each hash and at most (then it lets more
-#: through, and the join does the rest).
-FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 31
+#: through, and the join does the rest), and the bits that are looked at for a hash.
+FILTER_BITS, MOST_FILTER_BITS, PROBES = 32, 1 << 31, 6
 #: Parts that the windows of one hash are dealt to in the join.
 PARTS = 16
 #: Words whose codes a worker remembers.
@@ -102,17 +102,19 @@ def word_codes(words: list[str]) -> np.ndarray:
 # ------------------------------------------------------------------ the filter
 
 
-def probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of each hash in a filter of 2 ** bits bits."""
-    down = np.uint64(64 - bits)
-    return hashes >> down, (hashes * _STEP) >> down
+def probe(hashes: np.ndarray, bits: int, number: int) -> np.ndarray:
+    """The place of each hash in a filter of 2 ** bits bits; each number of probe has its own."""
+    return (hashes * _SEEDS[number]) >> np.uint64(64 - bits)
 
 
 def held(filter_: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    """Whether a filter may hold hashes; never false for one that it holds."""
-    a, b = probes(hashes, bits)
-    test = lambda at: (filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-    return (test(a) & test(b)).astype(bool)
+    """The places of hashes that a filter may hold; none that it holds is left out."""
+    kept = np.arange(len(hashes))
+    for number in range(PROBES):
+        at = probe(hashes, bits, number)
+        fits = (filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        kept, hashes = kept[fits], hashes[fits]
+    return kept
 
 
 def filter_of(seeds: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -123,7 +125,8 @@ def filter_of(seeds: DataFrame, n: int) -> tuple[np.ndarray, int]:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = np.concatenate(probes(batch.column(0).to_numpy().view(np.uint64), bits))
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            at = np.concatenate([probe(hashes, bits, number) for number in range(PROBES)])
             for s in np.unique(at >> np.uint64(segment)).tolist():
                 own = places.setdefault(s, np.zeros(1 << (segment - 3), np.uint8))
                 inner = (at[at >> np.uint64(segment) == s] & np.uint64((1 << segment) - 1)).astype(np.int64)
@@ -218,7 +221,7 @@ def _hitting(table: Broadcast, masks: list[str], sieve: Broadcast) -> Callable[[
             found, where = [], []
             for mask in masks:
                 h = seed_hashes(whole, mask)
-                at = np.flatnonzero(held(filter_, bits, h))
+                at = held(filter_, bits, h)
                 found.append(h[at])
                 where.append(at)
             hashes, at = np.concatenate(found), np.concatenate(where)

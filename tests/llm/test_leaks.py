@@ -169,9 +169,9 @@ def test_a_filter_holds_what_was_put_in(spark, n):
     hashes = np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
     df = spark.createDataFrame(pd.DataFrame({"hash": hashes.view(np.int64)}), "hash long").repartition(3)
     found, bits = K.filter_of(df, n)
-    assert K.held(found, bits, hashes).all()
+    assert len(K.held(found, bits, hashes)) == n
     others = np.random.default_rng(7).integers(0, 1 << 63, 100_000, dtype=np.uint64)
-    assert K.held(found, bits, others).mean() < 0.05
+    assert len(K.held(found, bits, others)) < 50
 
 
 def test_a_full_filter_loses_nothing(spark, monkeypatch):
