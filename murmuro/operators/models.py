@@ -14,7 +14,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -293,32 +293,75 @@ def audio_cache(cache: np.ndarray, start: int, end: int) -> np.ndarray | None:
 
 
 def loess(df: DataFrame, by: list[str], x: str, y: str, bandwidth: float = 0.05, most: int = 4096) -> DataFrame:
-    """Local linear regression with tricube weights per group: by, x, trend.
+    """Local linear regression with tricube weights per group: by, x, trend, one row per point with finite x and y.
 
-    Points are averaged in up to `most` cells of equal width in x before (with their number as weight), so
-    a group of any size is a bounded regression.
+    A regression takes the share bandwidth of the group's points nearest to its place. It is made at the
+    means of up to `most` cells of equal width in x (with the number of their points as weight), so a group of
+    any size is a bounded number of regressions; between two means the trend is a straight line, beyond the
+    first and last it goes on with their slope. Only the cells of a group come into one task.
     """
-    kept = df.where(F.col(y).isNotNull() & ~F.isnan(F.col(y)))
-    ends = kept.groupBy(*by).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    cell = F.least(F.floor((F.col(x) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300)) * most), F.lit(most - 1))
-    cells = kept.join(ends, by).groupBy(*by, cell.alias("__cell")).agg(F.avg(x).cast("double").alias("x"), F.avg(y).cast("double").alias("y"), F.count(F.lit(1)).alias("n"))
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))
+    kept = df.where(finite(x) & finite(y)).select(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    ends = kept.groupBy(*by).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"k.{c}").eqNullSafe(F.col(f"e.{c}"))
+    cell = F.least(F.floor((F.col("__x") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300)) * most), F.lit(most - 1))
+    placed = kept.alias("k").join(ends.alias("e"), same).select("k.*", cell.cast("int").alias("__cell"))
+    cells = placed.groupBy(*by, "__cell").agg(F.avg("__x").alias("x"), F.avg("__y").alias("y"), F.count(F.lit(1)).alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
+        pdf = pdf.sort_values("__cell")
         xs, ys, ns = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy(float)
-        near = max(2, int(np.ceil(bandwidth * len(xs))))
-        out = np.empty(len(xs))
+        upto = np.concatenate(([0.0], np.cumsum(ns)))
+        near = max(2.0, np.ceil(bandwidth * upto[-1]))
+        trend, slopes = np.empty(len(xs)), np.zeros(len(xs))
         for i, at in enumerate(xs):
-            lo, hi = max(0, i - near), min(len(xs), i + near + 1)
-            d = np.abs(xs[lo:hi] - at)
-            width = max(np.partition(d, min(near, len(d) - 1))[min(near, len(d) - 1)], 1e-12)
-            w = np.clip(1 - (d / width) ** 3, 0, None) ** 3 * ns[lo:hi]
-            w = w if w.sum() > 0 else ns[lo:hi]
+            lo = min(max(0, int(np.searchsorted(upto, upto[i] - near, "right")) - 1), max(0, i - 2))
+            hi = max(min(len(xs), int(np.searchsorted(upto, upto[i + 1] + near))), min(len(xs), i + 3))
+            d, n = np.abs(xs[lo:hi] - at), ns[lo:hi]
+            order = np.argsort(d, kind="stable")
+            last = min(int(np.searchsorted(np.cumsum(n[order]), near)) + 1, len(d) - 1)
+            width = max(d[order[max(last, min(2, len(d) - 1))]], 1e-12)
+            w = np.clip(1 - (d / width) ** 3, 0, None) ** 3 * n
+            w = w if w.sum() > 0 else n
             mx, my = np.average(xs[lo:hi], weights=w), np.average(ys[lo:hi], weights=w)
             var = np.average((xs[lo:hi] - mx) ** 2, weights=w)
-            slope = np.average((xs[lo:hi] - mx) * (ys[lo:hi] - my), weights=w) / var if var > 0 else 0.0
-            out[i] = my + slope * (at - mx)
-        return pdf[by].assign(x=xs, trend=out)
+            slopes[i] = np.average((xs[lo:hi] - mx) * (ys[lo:hi] - my), weights=w) / var if var > 0 else 0.0
+            trend[i] = my + slopes[i] * (at - mx)
+        rises = np.diff(trend) / np.maximum(np.diff(xs), 1e-300)
+        left, right = np.concatenate((slopes[:1], rises)), np.concatenate((rises, slopes[-1:]))
+        return pdf[[*by, "__cell"]].assign(__at=xs, __trend=trend, __left=left, __right=right)
 
     types = dict(df.dtypes)
-    return cells.groupBy(*by).applyInPandas(fit, ", ".join(f"{c} {types[c]}" for c in by) + ", x double, trend double")
+    fitted = cells.groupBy(*by).applyInPandas(fit, "".join(f"`{c}` {types[c]}, " for c in by) + "__cell int, __at double, __trend double, __left double, __right double")
+    same = F.col("k.__cell") == F.col("e.__cell")
+    for c in by:
+        same = same & F.col(f"k.{c}").eqNullSafe(F.col(f"e.{c}"))
+    away = F.col("__x") - F.col("__at")
+    return placed.alias("k").join(fitted.alias("e"), same).select(*[f"k.{c}" for c in by], F.col("__x").alias("x"), (F.col("__trend") + away * F.when(away < 0, F.col("__left")).otherwise(F.col("__right"))).alias("trend"))
+
+
+def token_rows(spark: SparkSession, backend: ModelBackend, name: str = "token_rows") -> None:
+    """Registers a table function name(text): pos and token of each id of a text, for LATERAL joins in SQL; null texts have none."""
+
+    @F.udtf(returnType="pos int, token int")
+    class TokenRows:
+        def eval(self, text: str):
+            for pos, token in enumerate(backend.text_ids(text) if text is not None else ()):
+                yield pos, token
+
+    spark.udtf.register(name, TokenRows)
+
+
+def audio_chunks(samples: Column, size: int) -> Column:
+    """An array of samples as chunks of size, the last as long as is left; no chunk of an empty array."""
+    n = F.size(samples)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(samples, at + 1, F.lit(size)))
+
+
+def chunk_size(seconds: float, sample_rate: int, frame_rate: float) -> int:
+    """Samples of the longest chunk of at most so many seconds that is whole frames; a frame at least."""
+    frame = round(sample_rate / frame_rate)
+    return max(frame, int(seconds * sample_rate) // frame * frame)

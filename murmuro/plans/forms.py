@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import struct
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuro.functions import scalars as S
 from murmuro.operators import metrics as M
-from murmuro.operators.models import ToyBackend, featurized, tokenized
+from murmuro.operators.models import ToyBackend, featurized, token_rows, tokenized
+from murmuro.operators.models import audio_chunks as audio_chunks_of
 from murmuro.operators.shards import shuffle_split
 from murmuro.session import shared_dir, store, table
 from murmuro.sources import checkpoints as C
+from murmuro.sources import files
 from murmuro.sources.tars import read_tars, write_tars
 
 
@@ -65,8 +70,8 @@ def mono_mixdown(spark: SparkSession, base: str) -> DataFrame:
 
 def audio_chunks(spark: SparkSession, base: str) -> DataFrame:
     """Vectors in chunks of 24 values: sum per chunk."""
-    rows = table(spark, base, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    return rows.groupBy("vec_id", F.floor(F.col("i") / 24).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x").cast("double")), 5).alias("total"))
+    rows = table(spark, base, "embeddings").select("vec_id", F.posexplode(audio_chunks_of(F.col("embedding"), 24)).alias("chunk", "x"))
+    return rows.select("vec_id", F.col("chunk").cast("long").alias("chunk"), F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 def text_tokens(spark: SparkSession, base: str) -> DataFrame:
@@ -75,6 +80,33 @@ def text_tokens(spark: SparkSession, base: str) -> DataFrame:
     return docs.groupBy(F.coalesce(F.lower("lang"), F.lit("-")).alias("lang")).agg(F.sum(F.size("text_ids")).alias("n_ids"))
 
 
+def token_table(spark: SparkSession, base: str) -> DataFrame:
+    """The toy tokenizer as a table function in SQL over the texts of nations and regions: ids by name."""
+    token_rows(spark, ToyBackend())
+    names = table(spark, base, "nation").select(F.col("n_name").alias("name")).unionByName(table(spark, base, "region").select(F.col("r_name").alias("name")))
+    return spark.sql("SELECT name, count(*) AS n_ids, sum(t.token) AS id_sum, max(t.pos) AS last_pos FROM {names}, LATERAL token_rows(name) AS t GROUP BY name", names=names)
+
+
+def checkpoint_scan(spark: SparkSession, base: str) -> DataFrame:
+    """A checkpoint whose wanted tensors are read, renamed and permuted: first and last value of every row. Tensor k has values 1000 k, 1000 k + 1 and so on."""
+    head, data, path = {}, b"", f"{shared_dir(spark)}/checkpoint-{uuid.uuid4().hex}.safetensors"
+    for k, name in enumerate(TENSORS):
+        values = np.arange(32, dtype="<f4") + 1000 * k
+        head[name] = {"dtype": "F32", "shape": [8, 4], "data_offsets": [len(data), len(data) + values.nbytes]}
+        data += values.tobytes()
+    text = json.dumps(head).encode()
+    with files.written(path) as f:
+        f.write(struct.pack("<Q", len(text)) + text + data)
+    names = C.key_names(spark, 1)
+    wanted = names.join(C.tensor_index(spark, path).select(F.col("key").alias("source")), "source", "left_semi")
+    rows = C.permuted(C.renamed(C.read_tensors(spark, path, wanted), names), F.col("key").rlike("[qk]_proj"), F.lit(4))
+    return rows.select("key", "row", F.get("vector", F.lit(0)).cast("double").alias("first"), F.get("vector", F.lit(3)).cast("double").alias("last"))
+
+
+#: Tensors of the file that checkpoint_scan makes; one isn't wanted.
+TENSORS = ("projection.weight", "decoder.layers.0.attn.q_proj.weight", "decoder.extra", "decoder.layers.0.mlp.w1.weight")
+
+
 def toy_pipeline_e2e(spark: SparkSession, base: str) -> DataFrame:
     """All recordings of a positive, finite duration to codes, logits, frame metrics and a summary, with the backend that needs no weights."""
     backend = ToyBackend()
@@ -99,7 +131,7 @@ def shard_tar_round_trip(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    slug_preview_format, prompt_lines, rope_row_permutation, key_rename, key_differences, param_counts, speed_interp, mono_mixdown, audio_chunks, text_tokens, toy_pipeline_e2e, shard_tar_round_trip,
+    slug_preview_format, prompt_lines, rope_row_permutation, key_rename, key_differences, param_counts, speed_interp, mono_mixdown, audio_chunks, text_tokens, token_table, checkpoint_scan, toy_pipeline_e2e, shard_tar_round_trip,
 )}
 
 _LAYER = ", ".join(f"('{a}', '{b}')" for a, b in C.LAYER_NAMES.items())
@@ -118,6 +150,9 @@ SQL = {
     "mono_mixdown": "SELECT vec_id, round(max((CAST(embedding[i + 1] AS DOUBLE) + CAST(embedding[i + 33] AS DOUBLE)) / 2), 6) AS top FROM embeddings, range(32) r(i) GROUP BY 1",
     "audio_chunks": "SELECT vec_id, i // 24 AS chunk, count(*) AS n, round(sum(CAST(embedding[i + 1] AS DOUBLE)), 5) AS total FROM embeddings, range(64) r(i) GROUP BY 1, 2",
     "text_tokens": "SELECT coalesce(lower(lang), '-') AS lang, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS n_ids FROM documents GROUP BY 1",
+    "token_table": "SELECT name, octet_length(encode(name)) AS n_ids, CAST(list_sum(list_transform(string_split(name, ''), lambda c: unicode(c))) AS BIGINT) AS id_sum, CAST(length(name) - 1 AS INT) AS last_pos FROM (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region)",
+    "checkpoint_scan": """SELECT key, CASE WHEN key LIKE '%q_proj%' THEN r // 4 * 4 + r % 4 % 2 * 2 + r % 4 // 2 ELSE r END AS row, CAST(1000 * k + 4 * r AS DOUBLE) AS first, CAST(1000 * k + 4 * r + 3 AS DOUBLE) AS last
+        FROM (VALUES (0, 'projection.weight'), (1, 'decoder.layers.0.self_attn.q_proj.weight'), (3, 'decoder.layers.0.mlp.gate_proj.weight')) t(k, key), range(8) s(r)""",
     "shard_tar_round_trip": """WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY md5('42:' || vec_id), CAST(vec_id AS VARCHAR)) - 1 AS place FROM embeddings)
         SELECT printf('toy_train_%05d.tar', place // 250) AS shard, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS id_sum, 40000 AS top_id FROM p GROUP BY 1""",
 }

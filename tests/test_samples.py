@@ -333,3 +333,35 @@ def test_temperature_zero_and_samplers(spark):
     noise = F.array(*[F.lit(x) for x in (0.9, 0.5, 0.5, 0.999999)])
     got = df.select(L.temperature(F.col("lg"), 0.0), L.sample(F.col("lg"), noise, 0.0), L.sample(F.col("lg"), noise, 1.0, 1), L.sample(F.col("lg"), noise, 1.0), L.sample(F.col("lg"), noise, 1.0, 0, 0.01)).first()
     assert list(got[0]) == [-np.inf, 3.0, -np.inf, -np.inf] and got[1] == 1 and got[2] == 1 and got[3] == 3 and got[4] == 1
+
+
+def test_trend_has_a_row_per_point_and_follows_curves(spark):
+    rng = np.random.default_rng(0)
+    x = np.sort(np.concatenate([rng.uniform(0, 1, 9000), rng.uniform(0, 100, 300)]))
+    y = np.sin(x / 15) + rng.normal(0, 0.05, len(x))
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": x, "y": y})).unionByName(spark.createDataFrame([(None, 1.0, 2.0), (None, None, 1.0), ("a", 1.0, float("nan")), ("b", 3.0, 5.0)], "g string, x double, y double"))
+    got = M.loess(df, ["g"], "x", "y", bandwidth=0.02).toPandas()
+    own = got[got["g"] == "a"].sort_values("x")
+    assert len(own) == len(x) and np.allclose(own["x"], x)
+    near = int(np.ceil(0.02 * len(x)))
+    for i in range(0, len(x), 150):  # the same regression on the points themselves
+        d = np.abs(x - x[i])
+        w = np.clip(1 - (d / np.sort(d)[near]) ** 3, 0, None) ** 3
+        mx, my = np.average(x, weights=w), np.average(y, weights=w)
+        slope = np.average((x - mx) * (y - my), weights=w) / np.average((x - mx) ** 2, weights=w)
+        assert own["trend"].iloc[i] == pytest.approx(my + slope * (x[i] - mx), abs=0.03)
+    assert got[got["g"].isna()]["trend"].tolist() == [2.0] and got[got["g"] == "b"]["trend"].tolist() == [5.0]
+    assert M.loess(df.limit(0), ["g"], "x", "y").count() == 0
+
+
+def test_chunks_of_samples(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0],), ([],), ([1.0, 2.0],), (None,)], "s array<double>")
+    assert [r[0] for r in df.select(M.audio_chunks(F.col("s"), 2)).collect()][:3] == [[[1.0, 2.0], [3.0, 4.0], [5.0]], [], [[1.0, 2.0]]]
+    assert M.chunk_size(30, 24_000, 12.5) == 720_000 and M.chunk_size(30.05, 24_000, 12.5) == 720_000 and M.chunk_size(0.001, 24_000, 12.5) == 1920
+
+
+def test_tokens_as_a_table_function(spark):
+    M.token_rows(spark, M.ToyBackend(), "t_rows")
+    spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "id int, text string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT id, t.pos, t.token FROM texts, LATERAL t_rows(text) AS t ORDER BY id, pos").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 97), (1, 1, 98)]
