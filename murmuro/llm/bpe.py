@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker remembers; a memory bound only, ids don't depend on it.
 REMEMBERED = 200_000
+#: Pairs of tokens of which a worker remembers whether they fit; as above.
+PAIRS = 1_000_000
 NAME = "byte_bpe_50k"
 
 
@@ -76,9 +78,12 @@ class Encoder:
         """Whether the merge rules, below a limit, leave the border between two tokens."""
         key = (left, right)
         if limit is None:
-            if key not in self.fits:
-                self.fits[key] = self._border(left, right, 1 << 40)
-            return self.fits[key]
+            found = self.fits.get(key)
+            if found is None:
+                if len(self.fits) >= PAIRS:
+                    self.fits.clear()
+                found = self.fits[key] = self._border(left, right, 1 << 40)
+            return found
         return self._border(left, right, limit)
 
     def _border(self, left: int, right: int, limit: int) -> bool:
