@@ -122,6 +122,11 @@ def p4_fill(spark: SparkSession, base: str) -> DataFrame:
     return w.groupBy("model").agg(F.sum("f").alias("n_frames"), (F.max("f") <= packing.WINDOW_FRAMES).alias("within"), (fill > 0.9).alias("filled"))
 
 
+def p4_cover(spark: SparkSession, base: str) -> DataFrame:
+    """Of each sequence that was packed: its frames in all windows, and in how many windows they lie."""
+    return p4_windows(spark, base).groupBy("model", "row_id", "seq_id").agg(F.sum("frames").alias("frames"), F.count(F.lit(1)).alias("n_parts"), F.count_distinct("window").alias("n_windows"))
+
+
 def _record_pieces(spark: SparkSession, base: str) -> DataFrame:
     return splitting.record_pieces(*[table(spark, base, t) for t in ("shard_meta", "spans", "layouts", "segments", "pauses")])
 
@@ -185,7 +190,7 @@ def p10_canonical(spark: SparkSession, base: str) -> DataFrame:
     return docs.select("doc_id", "form", (F.col("form") == F.col("text")).alias("unchanged"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p2_found, p2_turns, p2_masked, p3_found, p3_splits, p3_records, p3_shares, p4_windows, p4_span_windows, p4_fill, p5_found, p5_pieces, p5_cover, p5_recording_pieces, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_classes, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_daily, p1_days_combined, p1_latest, p1_error_bound, p2_found, p2_turns, p2_masked, p3_found, p3_splits, p3_records, p3_shares, p4_windows, p4_span_windows, p4_fill, p4_cover, p5_found, p5_pieces, p5_cover, p5_recording_pieces, p8_ids, p8_round_trip, p9_found, p9_overlaps, p10_found, p10_classes, p10_canonical)}
 
 def _same_look_sql(text: str) -> str:
     """The consistent form of a text in SQL, for the characters of the test tables: full and half width, look-alikes, ligatures, blanks."""
@@ -256,6 +261,7 @@ _LENGTHS = r"""
 """
 SQL = {
     "p4_fill": f"{_LENGTHS} SELECT model, CAST(sum(frames) AS BIGINT) AS n_frames, true AS within, true AS filled FROM r WHERE frames > 0 GROUP BY model",
+    "p4_cover": f"{_LENGTHS} SELECT model, row_id, seq_id, CAST(frames AS BIGINT) AS frames, CAST(ceil(frames / 2048) AS BIGINT) AS n_parts, CAST(ceil(frames / 2048) AS BIGINT) AS n_windows FROM r WHERE frames > 0 AND rate > 0",
     "p5_cover": f"{_LENGTHS} SELECT model, row_id, seq_id, CAST(ceil(frames / rate * 1000) AS BIGINT) AS end_ms, true AS sound FROM r WHERE frames / rate > 30",
     "p5_found": f"{_LENGTHS} SELECT model, row_id, seq_id FROM r WHERE frames / rate > 30",
     "p3_found": f"WITH RECURSIVE {_LINKS} SELECT a AS row_id, least(a, min(b)) AS group_row_id FROM reach GROUP BY a",
