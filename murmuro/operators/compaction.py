@@ -8,6 +8,7 @@ marker that only one writer can create, and one rename. A run that fails leaves
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Sequence
@@ -82,11 +83,16 @@ def _holds_map(kind: T.DataType) -> bool:
     return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _holds_map(kind.elementType))
 
 
-def checksum(fields: Sequence[T.StructField]) -> F.Column:
-    """A sum over rows that no order of them changes; decimals don't overflow. A null counts by its place. Maps are taken as JSON."""
+def row_hash(fields: Sequence[T.StructField]) -> F.Column:
+    """A hash of a row's columns. A null counts by its place; maps are taken as JSON."""
     columns = [(F.col(f"`{f.name}`"), _holds_map(f.dataType)) for f in fields]
-    nulls = F.concat_ws("", *[c.isNull().cast("int") for c, _ in columns]) if columns else F.lit("")
-    return F.sum(F.xxhash64(*[F.to_json(F.struct(c)) if has_map else c for c, has_map in columns], nulls).cast("decimal(38,0)"))
+    nulls = [functools.reduce(lambda a, b: a + b, [F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (c, _) in enumerate(columns[at : at + 60])]) for at in range(0, len(columns), 60)]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if has_map else c for c, has_map in columns], *nulls)
+
+
+def checksum(fields: Sequence[T.StructField]) -> F.Column:
+    """The sum of row_hash, which no order of rows changes; decimals don't overflow."""
+    return F.sum(row_hash(fields).cast("decimal(38,0)"))
 
 
 def claim(spark: SparkSession, out: str, about: dict) -> object:
@@ -141,7 +147,8 @@ def write_bins(rows: DataFrame, out: str, wanted: DataFrame | None = None, bins:
     data = [f for f in rows.schema.fields if f.name != "bin"]
     staged = f"{out}.staged-{uuid.uuid4().hex}"
     sums = [F.count(F.lit(1)).alias("n"), checksum(data).alias("s")]
-    rows.repartition(min(MOST_TASKS, max(parallelism(spark), bins or 1)), "bin").write.partitionBy("bin").parquet(staged)
+    few = (bins or 1) <= parallelism(spark)  # then adaptive execution puts small tasks together
+    (rows.repartition("bin") if few else rows.repartition(min(MOST_TASKS, bins), "bin")).write.partitionBy("bin").parquet(staged)
     read = spark.read.schema(T.StructType([*data, T.StructField("bin", T.StringType())])).parquet(staged)
     want = rows.groupBy("bin").agg(*sums) if wanted is None else wanted
     both = want.select("bin", "n", "s").unionByName(read.groupBy("bin").agg(*sums).select("bin", (-F.col("n")).alias("n"), (-F.col("s")).alias("s")))
@@ -294,7 +301,13 @@ def plan_shards(manifest: DataFrame, target: int) -> DataFrame:
 
 
 def compact_records(meta: DataFrame, target: int, out: str | None = None) -> DataFrame:
-    """shard_meta rewritten: each record once, with all columns of its last copy, in bins of about target n_bytes. Gives the published rows."""
+    """shard_meta rewritten: each record once, with all columns of its last copy, in bins of about target n_bytes. Gives the published rows.
+
+    The manifest has a hash of each record, as it was found, and the new files' rows are held against those.
+    """
     spark = meta.sparkSession
-    manifest = store(record_manifest(meta), "manifest")
-    return write_bins(store(plan_shards(manifest, target), "plan"), out or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    records = record_manifest(meta)
+    manifest = store(records.withColumn("__sum", row_hash(records.schema.fields)), "manifest")
+    plan = store(plan_shards(manifest, target), "plan")
+    sums = plan.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__sum").cast("decimal(38,0)")).alias("s"))
+    return write_bins(plan.drop("__sum"), out or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", sums)
